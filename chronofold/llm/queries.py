@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import exact_dedup, packing, warc
+from chronofold.llm import exact_dedup, license_scan, packing, simhash, warc
 from chronofold.llm.common import scratch_path, table
 
 
@@ -18,14 +18,24 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_warc_transactions": op1_warc_transactions,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_license_templates": op10_license_templates,
 }
 
 ORACLE_SQL = {
