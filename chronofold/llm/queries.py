@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import exact_dedup, license_scan, packing, simhash, toxicity, warc
+from chronofold.llm import exact_dedup, html_extract, license_scan, packing, simhash, toxicity, warc
 from chronofold.llm.common import scratch_path, table
 
 
@@ -18,6 +18,10 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -39,6 +43,7 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_transactions": op1_warc_transactions,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op3_wrapper_induction": op3_wrapper_induction,
     "op4_toxicity_instances": op4_toxicity_instances,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
