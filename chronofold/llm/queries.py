@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import exact_dedup, html_extract, license_scan, packing, simhash, toxicity, warc
+from chronofold.llm import decontamination, exact_dedup, html_extract, license_scan, packing, simhash, toxicity, warc
 from chronofold.llm.common import scratch_path, table
 
 
@@ -36,6 +36,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_toxicity_instances": op4_toxicity_instances,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
     "op10_license_templates": op10_license_templates,
 }
 
