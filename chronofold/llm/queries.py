@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import decontamination, exact_dedup, html_extract, license_scan, packing, simhash, toxicity, warc
+from chronofold.llm import decontamination, exact_dedup, html_extract, license_scan, packing, recompression, simhash, suffix_repeats, toxicity, warc
 from chronofold.llm.common import scratch_path, table
 
 
@@ -32,6 +32,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.repeated_byte_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_recompression_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeated_word_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -50,6 +58,8 @@ QUERIES = {
     "op3_wrapper_induction": op3_wrapper_induction,
     "op4_toxicity_instances": op4_toxicity_instances,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_suffix_repeats": op6_suffix_repeats,
+    "op7_recompression_repeats": op7_recompression_repeats,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
     "op10_license_templates": op10_license_templates,
