@@ -8,7 +8,7 @@ of 64 fingerprints, and carry-save counters add up 64 distances at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import materialize
+from chronofold.llm.common import broadcast_if_small, materialize, text_or_empty
 from chronofold.llm.components import components
 
 RADIUS = 4
@@ -86,18 +86,19 @@ class _Planes:
     """Bit planes of fingerprints: word w of plane p holds bit p of fingerprints 64w to 64w+63."""
 
     def __init__(self, fps: np.ndarray) -> None:
+        """``fps`` has a row of 64-bit words per fingerprint."""
         self.n, self.words = len(fps), -(-len(fps) // 64)
-        bits = np.unpackbits(fps.view(np.uint8).reshape(self.n, 8), axis=1, bitorder="little")
-        room = np.zeros((64, (self.words + 1) * 64 + self.n + 64), dtype=np.uint8)
+        bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(self.n, -1), axis=1, bitorder="little")
+        room = np.zeros((bits.shape[1], 64 * (2 * self.words + 2)), dtype=np.uint8)
         room[:, : self.n] = bits.T
-        packed = np.packbits(room, axis=1, bitorder="little")
-        self.planes = np.ascontiguousarray(packed[:, : packed.shape[1] // 8 * 8]).view(np.uint64)
+        self.planes = np.packbits(room, axis=1, bitorder="little").view(np.uint64)
 
     def near(self, shift: int, wanted: np.ndarray, radius: int) -> np.ndarray:
         """Rows i of those wanted whose fingerprint is within the radius of row i + shift's.
 
-        Counters count up to 7 and then stay marked. Words in which no wanted lane can still be
-        near are abandoned; the loop ends when none is left.
+        The counters' planes hold the distances of 64 pairs a word; a carry out of the last one
+        marks a pair for good. Words in which no wanted pair can still be near are abandoned,
+        and the loop ends when none is left.
         """
         lanes = np.zeros(self.words * 64, dtype=np.uint8)
         lanes[: len(wanted)] = wanted
@@ -105,45 +106,44 @@ class _Planes:
         at = np.flatnonzero(alive)
         alive = alive[at]
         step, turn = divmod(shift, 64)
-        ones = np.zeros(len(at), dtype=np.uint64)
-        twos, fours, over = ones.copy(), ones.copy(), ones.copy()
-        for p in range(64):
-            plane = self.planes[p]
+        counters = [np.zeros(len(at), dtype=np.uint64) for _ in range((radius + 1).bit_length())]
+        over = np.zeros(len(at), dtype=np.uint64)
+        for p, plane in enumerate(self.planes):
             other = plane[at + step]
             if turn:
                 other = (other >> np.uint64(turn)) | (plane[at + step + 1] << np.uint64(64 - turn))
-            bit = plane[at] ^ other
-            carry = ones & bit
-            ones ^= bit
-            bit = twos & carry
-            twos ^= carry
-            carry = fours & bit
-            fours ^= bit
+            carry = plane[at] ^ other
+            for k, counter in enumerate(counters):
+                counters[k], carry = counter ^ carry, counter & carry
             over |= carry
-            if p % STRIDE == STRIDE - 1 or p == 63:
-                alive &= ~_exceeds(ones, twos, fours, over, radius)
+            if p % STRIDE == STRIDE - 1 or p == len(self.planes) - 1:
+                alive &= ~(over | _exceeds(counters, radius))
                 left = np.flatnonzero(alive)
                 if len(left) == 0:
                     return np.empty(0, dtype=np.int64)
                 if len(left) < len(at):
-                    at, alive, ones, twos, fours, over = at[left], alive[left], ones[left], twos[left], fours[left], over[left]
+                    at, alive, over, counters = at[left], alive[left], over[left], [c[left] for c in counters]
         bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         word, lane = np.nonzero(bits)
         return at[word] * 64 + lane
 
 
-def _exceeds(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose count is above the radius (0 to 7)."""
-    out = over.copy()
-    for value in range(radius + 1, 8):
-        out |= (ones if value & 1 else ~ones) & (twos if value & 2 else ~twos) & (fours if value & 4 else ~fours)
-    return out
+def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count is above the radius: compared from the highest bit down."""
+    above, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for k in range(len(counters) - 1, -1, -1):
+        if radius >> k & 1:
+            equal &= counters[k]
+        else:
+            above |= equal & counters[k]
+            equal &= ~counters[k]
+    return above
 
 
 def bucket_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all fingerprints within the radius of each other, by bucket.
 
-    Rows are sorted by bucket. Every pair of a bucket that is not yet connected is compared,
+    Rows are sorted by bucket; a fingerprint is a row of words. Every pair of a bucket that is not yet connected is compared,
     one row distance at a time; pairs already connected are left out, so a dense group
     costs a few passes and gives one link per member.
     """
@@ -178,40 +178,49 @@ def bucket_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.n
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def fingerprint_links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
-    """(a, b): links that connect every two fingerprints of column fp within the radius."""
-    masks = block_masks(radius, blocks_for(n, radius))
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
-    dealt = distinct.select("fp", F.inline(keys)).repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
+def _bucket_numbers(choice: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])][: len(key)])
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
 
-        def flush(rows: pd.DataFrame) -> pd.DataFrame:
-            fps = rows["fp"].to_numpy(dtype=np.int64)
-            key, choice = rows["key"].to_numpy(), rows["choice"].to_numpy()
-            bucket = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])])
-            size = np.bincount(bucket)
-            several = size[bucket] > 1
-            fps, bucket = fps[several], bucket[several]
-            i, j = bucket_links(fps.view(np.uint64), bucket, radius)
-            return pd.DataFrame({"a": fps[i], "b": fps[j]})
+def _whole_buckets(link: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable:
+    """Calls ``link`` on runs of rows, sorted by choice and key, that hold whole buckets."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
         last = None
         for batch in batches:
+            if len(batch) == 0:
+                continue
             # A bucket may go on in the next batch: hold back the last one.
             end = (batch["choice"].iat[-1], batch["key"].iat[-1])
-            first = np.flatnonzero((batch["choice"].to_numpy() == end[0]) & (batch["key"].to_numpy() == end[1]))[0]
+            first = int(np.flatnonzero((batch["choice"].to_numpy() == end[0]) & (batch["key"].to_numpy() == end[1]))[0])
             if first == 0 and (not waiting or last == end):
                 waiting.append(batch)
             else:
-                yield flush(pd.concat([*waiting, batch.iloc[:first]]))
+                yield link(pd.concat([*waiting, batch.iloc[:first]]))
                 waiting = [batch.iloc[first:]]
             last = end
         if waiting:
-            yield flush(pd.concat(waiting))
+            yield link(pd.concat(waiting))
 
-    return dealt.mapInPandas(link, "a long, b long")
+    return run
+
+
+def fingerprint_links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
+    """(a, b): links that connect every two fingerprints of column fp within the radius."""
+    masks = block_masks(radius, blocks_for(n, radius))
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
+    dealt = distinct.select("fp", F.inline(keys)).repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        fps = rows["fp"].to_numpy(dtype=np.int64)
+        bucket = _bucket_numbers(rows["choice"].to_numpy(), rows["key"].to_numpy())
+        several = np.bincount(bucket)[bucket] > 1
+        fps, bucket = fps[several], bucket[several]
+        i, j = bucket_links(fps.view(np.uint64).reshape(-1, 1), bucket, radius)
+        return pd.DataFrame({"a": fps[i], "b": fps[j]})
+
+    return dealt.mapInPandas(_whole_buckets(link), "a long, b long")
 
 
 def _signed(x: int) -> int:
@@ -241,3 +250,94 @@ def near_duplicates(
     return made.join(by_fp, "fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# -- documents of a given similarity --------------------------------------------------------------
+
+#: 64-bit words of a wide fingerprint, and the tables of sampled bits that bring candidates together:
+#: documents that share 0.8 of their shingles agree on a table's bits in 1 of 10 cases, so 48 miss 1 in 100.
+WIDE, TABLES, TABLE_BITS = 4, 48, 14
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """Majority bits of the hashes and of three remixes of them."""
+    out, now = [], hashes
+    for k in range(WIDE):
+        out.append(majority_bits(now))
+        now = (now ^ (now >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+        now ^= now >> np.uint64(32)
+    return out
+
+
+def table_keys(fps: np.ndarray) -> np.ndarray:
+    """Per fingerprint and table, the sampled bits as a number; which bits is fixed by a seed."""
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    chosen = np.random.default_rng(SEED)
+    powers = 1 << np.arange(TABLE_BITS)
+    return np.stack([bits[:, chosen.choice(bits.shape[1], TABLE_BITS, replace=False)] @ powers for _ in range(TABLES)], axis=1)
+
+
+def bits_apart(jaccard: float) -> float:
+    """The expected share of differing bits of two equally large sets: their cosine is 2j / (1 + j)."""
+    return float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
+
+    Near duplicates share at least ``jaccard`` of the distinct ``words``-word shingles that they
+    have together (cut as in near_duplicates), and groups are what links reach; the smallest id
+    stays, an id before none, and of rows that repeat it one. Rows without words all stay.
+
+    Candidates come from wide fingerprints in tables of sampled bits; within a bucket the
+    bit-sliced comparison links those whose distance speaks for the similarity, with some
+    room, and every link is verified on the shingles themselves. Links in a bucket form a
+    forest, so a large group of copies gives a link per member and table.
+    """
+    radius = round(64 * WIDE * bits_apart(jaccard - 0.15))
+    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "similar-rows")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(r, wide_fingerprint(h)) for r, t in zip(batch["_row"], batch["_text"], strict=True) if len(h := np.unique(shingle_hashes(t, words)))]
+            if not made:
+                continue
+            fps = np.array([f for _, f in made], dtype=np.uint64)
+            keys = table_keys(fps)
+            out = pd.DataFrame({"choice": np.tile(np.arange(TABLES, dtype=np.int32), len(made)), "key": keys.reshape(-1).astype(np.int32), "row": np.repeat([r for r, _ in made], TABLES)})
+            for k in range(WIDE):
+                out[f"f{k}"] = np.repeat(fps[:, k].view(np.int64), TABLES)
+            yield out
+
+    fields = ", ".join(f"f{k} long" for k in range(WIDE))
+    texts = rows.select("_row", text_or_empty(text_col).alias("_text"))
+    dealt = texts.mapInPandas(deal, f"choice int, key int, row long, {fields}").repartition("choice", "key").sortWithinPartitions("choice", "key", "row")
+
+    def link(batch: pd.DataFrame) -> pd.DataFrame:
+        bucket = _bucket_numbers(batch["choice"].to_numpy(), batch["key"].to_numpy())
+        batch = batch[np.bincount(bucket)[bucket] > 1]
+        bucket = _bucket_numbers(batch["choice"].to_numpy(), batch["key"].to_numpy())
+        fps = batch[[f"f{k}" for k in range(WIDE)]].to_numpy(dtype=np.int64).view(np.uint64)
+        i, j = bucket_links(fps, bucket, radius)
+        row = batch["row"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(row[i], row[j]), "b": np.maximum(row[i], row[j])})
+
+    pairs = materialize(dealt.mapInPandas(_whole_buckets(link), "a long, b long").distinct(), "similar-pairs")
+    ends = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
+
+    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"_row": batch["_row"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["_text"]]})
+
+    sets = materialize(
+        texts.join(broadcast_if_small(ends, ends.count(), 2_000_000), "_row", "left_semi").mapInPandas(shingle, "_row long, s array<long>"), "similar-sets"
+    )
+    both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = both.where(common >= jaccard * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    grouped = components(links)
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    members = materialize(rows.select("_row", id_col).join(grouped, F.col("_row") == F.col("node")).select("root", "_row", order.alias("o")), "similar-members")
+    stays = members.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias("_row"))
+    gone = materialize(members.select("_row").join(stays, "_row", "left_anti"), "similar-gone")
+    return rows.join(broadcast_if_small(gone, gone.count(), 2_000_000), "_row", "left_anti").drop("_row")

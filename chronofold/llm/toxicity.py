@@ -198,6 +198,23 @@ def train(
     return fit(*training_texts(docs, labels, id_col, text_col, label_col, most_per_class))
 
 
+def score_column(model: ToxicityModel, text: Column) -> Column:
+    """The score of a text column, for filters."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.scorer()
+        for batch in batches:
+            yield batch.map(lambda t: scorer.score(t)[0])
+
+    return score(text.cast("string"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``least``, with all their columns; empty texts stay."""
+    return docs.where(score_column(model, F.coalesce(F.col(text_col), F.lit(""))) < least)
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """One row per input row: id, held_out, score, predicted, offending.
 
