@@ -33,6 +33,8 @@ BLOCK = "bucket int, kind int, payload binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: Anchors, contexts and text bytes that a task combines before it sends them on.
 MOST_ANCHORS, MOST_CONTEXTS, MOST_BYTES = 1_500_000, 250_000, 16_000_000
+#: Bits of an anchor's hash that travel; anchors that share a hash by chance are told apart by their contexts.
+HASH_BITS = np.uint64((1 << 48) - 1)
 #: Text bytes whose anchors are found at once.
 ANCHOR_BYTES = 2_000_000
 #: An id that sorts after all others: rows without one.
@@ -61,8 +63,10 @@ class Units:
 
 
 def freeze(*arrays: np.ndarray) -> bytes:
-    head = struct.pack("<i", len(arrays)) + b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), a.nbytes) for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    """Arrays in one compressed block. Bytes of equal weight lie together, so small numbers and sorted ones take little room."""
+    head = struct.pack("<i", len(arrays)) + b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) for a in arrays)
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def thaw(payload: bytes) -> list[np.ndarray]:
@@ -71,8 +75,10 @@ def thaw(payload: bytes) -> list[np.ndarray]:
     at, out = 4 + 10 * n, []
     for k in range(n):
         kind, size = struct.unpack_from("<2sq", raw, 4 + 10 * k)
-        out.append(np.frombuffer(raw, dtype=f"<{kind.decode()}", count=size // int(kind[1:]), offset=at))
-        at += size
+        width = int(kind[1:])
+        planes = np.frombuffer(raw, dtype=np.uint8, count=size * width, offset=at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<{kind.decode()}"))
+        at += size * width
     return out
 
 
@@ -196,6 +202,7 @@ def _find_anchors(units: Units, buckets: int) -> Callable:
         for rows in _gathered(_texts(batches), ANCHOR_BYTES):
             ids, tags = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
             own, h, pos, before, after = units.anchors([r[2] for r in rows])
+            h = h & HASH_BITS
             waiting.append([ids[own], tags[own], h, pos.astype(np.int32), before.astype(np.uint8), after.astype(np.uint8)])
             n += len(h)
             if n >= MOST_ANCHORS:
