@@ -137,11 +137,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     bins, offsets, n_bins = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64), 0
     worst = np.iinfo(np.int64).max
     for i, s in enumerate(lengths.tolist()):
-        # Change of the sum, halved: count[g - s] - count[g] + 1; a gap that closes leaves no square.
-        change = count[: capacity + 1 - s] - count[s:] + 1
-        change[0] = -count[s]  # twice the true change is -2 count + 1, which is below -2 count + 2
+        change = 2 * (count[: capacity + 1 - s] - count[s:]) + 2
+        change[0] = 1 - 2 * count[s]  # a gap that closes adds no square
         change[count[s:] == 0] = worst
-        change[capacity - s] = count[capacity - s] + (1 if s < capacity else 0)
+        change[capacity - s] = 2 * count[capacity - s] + 1 if s < capacity else 0  # a new bin
         gap = int(change.argmin()) + s
         if gap == capacity:
             b, n_bins = n_bins, n_bins + 1

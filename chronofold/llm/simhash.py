@@ -292,52 +292,93 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Candidates come from wide fingerprints in tables of sampled bits; within a bucket the
     bit-sliced comparison links those whose distance speaks for the similarity, with some
     room, and every link is verified on the shingles themselves. Links in a bucket form a
-    forest, so a large group of copies gives a link per member and table.
+    forest, so a large group of copies gives a link per member and table. A pair that the
+    forest has left out, since links connected it that then failed, is found in another pass:
+    the rows with candidates that are left are compared again, in another order, until a pass
+    finds nothing.
     """
     radius = round(64 * WIDE * bits_apart(jaccard - 0.15))
     rows = materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "similar-rows")
+    texts = rows.select("_row", text_or_empty(text_col).alias("_text"))
+    prints = materialize(texts.mapInPandas(_wide(words), f"row long, {_FIELDS}"), "similar-prints")
+    ids = rows.select("_row", F.col(id_col).alias("_id"))
+    active, sets, losers, turn = prints, None, [], 0
+    while True:
+        pairs = materialize(_candidates(active, radius, turn), "similar-pairs")
+        ends = materialize(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "similar-ends")
+        n_ends = ends.count()
+        if n_ends == 0:
+            break
+        if sets is None:
+            small = broadcast_if_small(ends, n_ends, 2_000_000)
+            sets = materialize(texts.join(small, texts["_row"] == small["row"], "left_semi").mapInPandas(_shingle_sets(words), "row long, s array<long>"), "similar-sets")
+        both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        links = materialize(both.where(common >= jaccard * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar-links")
+        if links.isEmpty():
+            break
+        order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+        members = ids.join(components(links), F.col("_row") == F.col("node")).select("root", "_row", order.alias("o"))
+        members = materialize(members, "similar-members")
+        stays = members.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias("_row"))
+        gone = materialize(members.select("_row").join(stays, "_row", "left_anti"), "similar-gone")
+        losers.append(gone)
+        left = ends.join(gone, ends["row"] == gone["_row"], "left_anti")
+        active, turn = prints.join(left, "row", "left_semi"), turn + 1
+    if not losers:
+        return rows.drop("_row")
+    gone = losers[0]
+    for more in losers[1:]:
+        gone = gone.unionByName(more)
+    return rows.join(broadcast_if_small(gone, gone.count(), 2_000_000), "_row", "left_anti").drop("_row")
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+_FIELDS = ", ".join(f"f{k} long" for k in range(WIDE))
+
+
+def _wide(words: int) -> Callable:
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [(r, wide_fingerprint(h)) for r, t in zip(batch["_row"], batch["_text"], strict=True) if len(h := np.unique(shingle_hashes(t, words)))]
-            if not made:
+            fps = np.array([f for _, f in made], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pd.DataFrame({"row": np.array([r for r, _ in made], dtype=np.int64)} | {f"f{k}": fps[:, k] for k in range(WIDE)})
+
+    return make
+
+
+def _shingle_sets(words: int) -> Callable:
+    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"row": batch["_row"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["_text"]]})
+
+    return shingle
+
+
+def _candidates(prints: DataFrame, radius: int, turn: int) -> DataFrame:
+    """(a, b), a before b: links between rows of a bucket whose fingerprints are within the radius."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) == 0:
                 continue
-            fps = np.array([f for _, f in made], dtype=np.uint64)
-            keys = table_keys(fps)
-            out = pd.DataFrame({"choice": np.tile(np.arange(TABLES, dtype=np.int32), len(made)), "key": keys.reshape(-1).astype(np.int32), "row": np.repeat([r for r, _ in made], TABLES)})
+            fps = batch[[f"f{k}" for k in range(WIDE)]].to_numpy(dtype=np.int64)
+            out = pd.DataFrame({
+                "choice": np.tile(np.arange(TABLES, dtype=np.int32), len(batch)), "key": table_keys(np.ascontiguousarray(fps).view(np.uint64)).reshape(-1).astype(np.int32),
+                "row": np.repeat(batch["row"].to_numpy(), TABLES),
+            })
             for k in range(WIDE):
-                out[f"f{k}"] = np.repeat(fps[:, k].view(np.int64), TABLES)
+                out[f"f{k}"] = np.repeat(fps[:, k], TABLES)
             yield out
 
-    fields = ", ".join(f"f{k} long" for k in range(WIDE))
-    texts = rows.select("_row", text_or_empty(text_col).alias("_text"))
-    dealt = texts.mapInPandas(deal, f"choice int, key int, row long, {fields}").repartition("choice", "key").sortWithinPartitions("choice", "key", "row")
-
     def link(batch: pd.DataFrame) -> pd.DataFrame:
         bucket = _bucket_numbers(batch["choice"].to_numpy(), batch["key"].to_numpy())
         batch = batch[np.bincount(bucket)[bucket] > 1]
         bucket = _bucket_numbers(batch["choice"].to_numpy(), batch["key"].to_numpy())
-        fps = batch[[f"f{k}" for k in range(WIDE)]].to_numpy(dtype=np.int64).view(np.uint64)
+        fps = np.ascontiguousarray(batch[[f"f{k}" for k in range(WIDE)]].to_numpy(dtype=np.int64)).view(np.uint64)
         i, j = bucket_links(fps, bucket, radius)
         row = batch["row"].to_numpy()
         return pd.DataFrame({"a": np.minimum(row[i], row[j]), "b": np.maximum(row[i], row[j])})
 
-    pairs = materialize(dealt.mapInPandas(_whole_buckets(link), "a long, b long").distinct(), "similar-pairs")
-    ends = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
-
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"_row": batch["_row"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["_text"]]})
-
-    sets = materialize(
-        texts.join(broadcast_if_small(ends, ends.count(), 2_000_000), "_row", "left_semi").mapInPandas(shingle, "_row long, s array<long>"), "similar-sets"
-    )
-    both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_row").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(common >= jaccard * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    grouped = components(links)
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    members = materialize(rows.select("_row", id_col).join(grouped, F.col("_row") == F.col("node")).select("root", "_row", order.alias("o")), "similar-members")
-    stays = members.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias("_row"))
-    gone = materialize(members.select("_row").join(stays, "_row", "left_anti"), "similar-gone")
-    return rows.join(broadcast_if_small(gone, gone.count(), 2_000_000), "_row", "left_anti").drop("_row")
+    dealt = prints.mapInPandas(deal, f"choice int, key int, row long, {_FIELDS}").withColumn("rank", F.xxhash64("row", F.lit(turn)))
+    sorted_rows = dealt.repartition("choice", "key").sortWithinPartitions("choice", "key", "rank", "row")
+    return sorted_rows.mapInPandas(_whole_buckets(link), "a long, b long").distinct()

@@ -79,6 +79,8 @@ class Scorer(dict):
 
     def sentences(self, text: str | None) -> np.ndarray:
         """Probabilities of the text's sentences, in order."""
+        if self.model.bias == -np.inf:
+            return np.empty(0)
         if len(self) > self.MOST_WORDS:
             self.clear()
         tokens = _tokens(text or "")
@@ -90,7 +92,7 @@ class Scorer(dict):
 
     def score(self, text: str | None) -> tuple[float, np.ndarray]:
         p = self.sentences(text)
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), p
+        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()) + 0.0), p
 
     def spans(self, text: str, p: np.ndarray, least: float) -> list[dict]:
         """Character spans of the sentences with a probability of at least ``least``."""
