@@ -275,7 +275,7 @@ def _index(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], dict[tuple[
     return columns, {(int(ids[a]), int(tags[a])): (int(a), int(b)) for a, b in zip(starts, ends, strict=True)}
 
 
-def _cut_contexts(units: Units, buckets: int) -> Callable:
+def _cut_contexts(units: Units, buckets: int, collapse: bool = True) -> Callable:
     def send(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Of equal contexts of one anchor the first stays; the others repeat all of it."""
         rows.sort(key=lambda r: (r[0], r[1], r[3]))
@@ -284,7 +284,7 @@ def _cut_contexts(units: Units, buckets: int) -> Callable:
         for row in rows:
             known = first.setdefault((row[2], row[4], row[5], row[6]), row)
             before = (known[0], known[1], known[3]) < (row[0], row[1], row[3]) if units.within_document else known[0] < row[0]
-            if not before:
+            if not before or not collapse:
                 keep.append(row)
             elif row[4] + row[5] >= units.length:
                 spans.append((row[0], row[1], row[3] - row[4], row[3] + row[5]))
@@ -345,77 +345,56 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(first, most)
 
 
-def _left_reach(rows: np.ndarray, left: np.ndarray, n_left: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Per row: the longest common left extension with a row of lower rank, or -1 without one.
+def _intervals(lcp: list[int], n: int) -> Iterator[tuple[int, int, int]]:
+    """(first, end, depth) of the intervals of n sorted strings that share ``depth`` units, innermost first.
 
-    Rows are sorted by their reversed left contexts; towards either side the nearest row of
-    lower rank shares the most, as the minimum of the neighbours' common lengths in between.
+    ``lcp`` has the common prefix of each string with the one before it, from the second on. The
+    stack holds the open intervals; one ends where neighbours share less than its depth.
     """
-    keys = left[rows]
-    order = np.lexsort((n_left[rows], np.ascontiguousarray(keys).view(f"S{keys.shape[1] * keys.itemsize}").reshape(-1)))
-    at = rows[order]
-    shared = _common(left[at[1:]], left[at[:-1]], np.minimum(n_left[at[1:]], n_left[at[:-1]])).tolist()
-    ranks, n = rank[at].tolist(), len(at)
-    best = [-1] * n
-    for sweep in (range(n), range(n - 1, -1, -1)):
-        stack: list[list[int]] = []  # rows of rising rank, with what they share with the row at hand
-        for i in sweep:
-            step = shared[i - 1] if sweep.step == 1 and i else shared[i] if sweep.step == -1 and i < n - 1 else 0
-            low = step
-            while stack and ranks[stack[-1][0]] >= ranks[i]:
-                low = min(low, stack.pop()[1])
-            if stack:
-                stack[-1][1] = min(stack[-1][1], low)
-                best[i] = max(best[i], stack[-1][1])
-            stack.append([i, 1 << 30])
-    out = np.empty(n, dtype=np.int64)
-    out[order] = best
-    return out
-
-
-def interval_spans(
-    right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_left: np.ndarray, rank: np.ndarray, length: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, units to the left, units to the right) of stretches that occur in a row of lower rank.
-
-    Rows are suffixes (``right``) in sorted order, with reversed left contexts. A stack scan
-    over the neighbours' common prefixes gives the intervals of suffixes that share a prefix,
-    innermost first: the groups of a maximal repeat, all occurrences together. Within a group the
-    left extensions are compared as well, so a row is given the whole stretch that it shares
-    with a row of lower rank, and rows whose left extensions differ too early give none.
-    """
-    n = len(right)
-    if n < 2:
-        none = np.empty(0, dtype=np.int64)
-        return none, none, none
-    lcp = _common(right[1:], right[:-1], np.minimum(n_right[1:], n_right[:-1])).tolist()
-    who, to_left, to_right = [], [], []
-
-    def visit(a: int, b: int, depth: int) -> None:
-        rows = np.arange(a, b)
-        if rank[a:b].min() == rank[a:b].max() or depth + int(n_left[a:b].max()) < length:
-            return
-        reach = _left_reach(rows, left, n_left, rank)
-        good = reach + depth >= length
-        good &= reach >= 0
-        if good.any():
-            who.append(rows[good])
-            to_left.append(reach[good])
-            to_right.append(np.full(int(good.sum()), depth))
-
-    stack: list[tuple[int, int]] = []  # (common prefix, first row)
+    stack: list[tuple[int, int]] = []
     for i in range(1, n + 1):
         here = lcp[i - 1] if i < n else 0
         begin = i - 1
-        while stack and stack[-1][0] > here:
-            depth, begin = stack.pop()
-            visit(begin, i, depth)
-        if here and (not stack or stack[-1][0] < here):
-            stack.append((here, begin))
-    if not who:
-        none = np.empty(0, dtype=np.int64)
-        return none, none, none
-    return np.concatenate(who), np.concatenate(to_left), np.concatenate(to_right)
+        while stack and stack[-1][1] > here:
+            begin, depth = stack.pop()
+            yield begin, i, depth
+        if here and (not stack or stack[-1][1] < here):
+            stack.append((begin, here))
+
+
+def repeat_groups(
+    right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_left: np.ndarray, length: int
+) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(rows, units to the left, units to the right) of each maximal repeat of at least ``length`` units.
+
+    Rows are suffixes (``right``) in sorted order with reversed left contexts: an enhanced suffix
+    array with what stands before each suffix. An interval of suffixes that share a prefix is
+    split by its left extensions, sorted in their turn: rows that share a left extension of some
+    length, and differ or end beyond it, are a group with all its occurrences. A group that lies
+    within one child of the interval has a longer prefix in common and is left to that child.
+    """
+    n = len(right)
+    if n < 2:
+        return
+    lcp = _common(right[1:], right[:-1], np.minimum(n_right[1:], n_right[:-1]))
+    for a, b, depth in _intervals(lcp.tolist(), n):
+        if depth + int(n_left[a:b].max()) < length:
+            continue
+        order = a + np.lexsort((n_left[a:b], _bytes_key(left[a:b])))
+        shared = _common(left[order[1:]], left[order[:-1]], np.minimum(n_left[order[1:]], n_left[order[:-1]])).tolist()
+        # Where a new child of the interval begins: neighbours share no more than its depth.
+        child = np.cumsum(np.r_[0, lcp[a : b - 1] <= depth])
+        whole = [(0, b - a, 0)] if depth >= length and min(shared) == 0 else []
+        for c, d, before in [*_intervals(shared, b - a), *whole]:
+            rows = order[c:d]
+            if before + depth >= length and child[rows - a].min() != child[rows - a].max():
+                yield np.sort(rows), before, depth
+
+
+def _bytes_key(units: np.ndarray) -> np.ndarray:
+    """Rows as byte strings that sort as the units do."""
+    big = np.ascontiguousarray(units.astype(units.dtype.newbyteorder(">")))
+    return big.view(f"S{units.shape[1] * units.itemsize}").reshape(-1)
 
 
 def _pad(rows: list[np.ndarray], width: int, kind: type) -> np.ndarray:
@@ -427,74 +406,144 @@ def _pad(rows: list[np.ndarray], width: int, kind: type) -> np.ndarray:
     return out
 
 
-def _compare(units: Units, buckets: int) -> Callable:
-    def spans_of(ids: np.ndarray, tags: np.ndarray, h: np.ndarray, pos: np.ndarray, before: np.ndarray, after: np.ndarray, lines: list[bytes]) -> list[tuple]:
-        some = np.flatnonzero(np.isin(h, h[_repeated(h)]))
-        if len(some) == 0:
-            return []
-        ids, tags, h, pos = ids[some], tags[some], h[some], pos[some].astype(np.int64)
-        n_left, n_right = before[some].astype(np.int64), after[some].astype(np.int64)
-        cut = units.split([lines[i] for i in some.tolist()])
-        kind = cut[0].dtype.type
-        left = _pad([c[:k][::-1] for c, k in zip(cut, n_left.tolist(), strict=True)], int(n_left.max()), kind)
-        right = _pad([c[k:] for c, k in zip(cut, n_left.tolist(), strict=True)], int(n_right.max()), kind)
-        # Big-endian bytes sort as the units do.
-        as_key = lambda m: np.ascontiguousarray(m.astype(m.dtype.newbyteorder(">"))).view(f"S{m.shape[1] * m.itemsize}").reshape(-1)
-        order_of = np.lexsort((pos, tags, ids)) if units.within_document else np.lexsort((ids,))
-        rank = np.empty(len(ids), dtype=np.int64)
-        changes = np.diff(ids[order_of]) != 0
-        if units.within_document:
-            changes |= (np.diff(tags[order_of]) != 0) | (np.diff(pos[order_of]) != 0)
-        rank[order_of] = np.cumsum(np.r_[0, changes])
-        order = np.lexsort((rank, n_left, as_key(left), n_right, as_key(right), h))
-        ids, tags, h, pos, n_left, n_right, left, right, rank = (x[order] for x in (ids, tags, h, pos, n_left, n_right, left, right, rank))
-        # Equal contexts: the row of lowest rank stands for them, the others repeat it.
-        equal = np.r_[False, (h[1:] == h[:-1]) & (n_left[1:] == n_left[:-1]) & (n_right[1:] == n_right[:-1]) & (left[1:] == left[:-1]).all(axis=1) & (right[1:] == right[:-1]).all(axis=1)]
-        group = np.cumsum(~equal) - 1
-        lowest = rank[~equal][group]
-        full = (rank > lowest) & (n_left + n_right >= units.length)
-        out = list(zip(ids[full].tolist(), tags[full].tolist(), (pos - n_left)[full].tolist(), (pos + n_right)[full].tolist(), strict=True))
-        rest = np.flatnonzero(rank == lowest)
-        rest = rest[np.r_[True, (group[rest][1:] != group[rest][:-1])]] if len(rest) else rest
-        twins = np.flatnonzero((rank == lowest) & equal)  # same rank and context as a row that stays
-        starts, _ = _runs(h[rest])
-        sizes = np.diff(np.r_[starts, len(rest)])
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        two = rest[starts[sizes == 2]], rest[starts[sizes == 2] + 1]
-        if len(two[0]):
-            a, b = two
-            to_right = _common(right[a], right[b], np.minimum(n_right[a], n_right[b]))
-            to_left = _common(left[a], left[b], np.minimum(n_left[a], n_left[b]))
-            good = (to_right + to_left >= units.length) & (rank[a] != rank[b])
-            found.append((np.where(rank[a] > rank[b], a, b)[good], to_left[good], to_right[good]))
-        for k in np.flatnonzero(sizes > 2).tolist():
-            own = rest[starts[k] : starts[k] + sizes[k]]
-            row, to_left, to_right = interval_spans(right[own], n_right[own], left[own], n_left[own], rank[own], units.length)
-            found.append((own[row], to_left, to_right))
-        same: dict[int, list[int]] = {}
-        for t in twins.tolist():
-            same.setdefault(int(group[t]), []).append(t)
-        for rows, to_left, to_right in found:
-            for i, x, y in zip(rows.tolist(), to_left.tolist(), to_right.tolist(), strict=True):
-                for j in (i, *same.get(int(group[i]), ())):
-                    out.append((int(ids[j]), int(tags[j]), int(pos[j]) - x, int(pos[j]) + y))
-        return out
+@dataclass
+class _Contexts:
+    """Contexts of one bucket, sorted by hash, right context, reversed left context and rank."""
+
+    ids: np.ndarray
+    tags: np.ndarray
+    h: np.ndarray
+    pos: np.ndarray
+    n_left: np.ndarray
+    n_right: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    rank: np.ndarray
+    lines: list[bytes]
+
+
+def _sorted_contexts(units: Units, columns: list[np.ndarray], lines: list[bytes]) -> _Contexts | None:
+    """Contexts whose hash occurs twice. Rank orders places: by id, and within a document by position if that counts."""
+    ids, tags, h, pos, before, after = columns
+    some = np.sort(_repeated(h))
+    if len(some) == 0:
+        return None
+    ids, tags, h, pos = ids[some], tags[some], h[some], pos[some].astype(np.int64)
+    n_left, n_right = before[some].astype(np.int64), after[some].astype(np.int64)
+    cut = units.split([lines[i] for i in some.tolist()])
+    kind = cut[0].dtype.type
+    left = _pad([c[:k][::-1] for c, k in zip(cut, n_left.tolist(), strict=True)], int(n_left.max()), kind)
+    right = _pad([c[k:] for c, k in zip(cut, n_left.tolist(), strict=True)], int(n_right.max()), kind)
+    order_of = np.lexsort((pos, tags, ids)) if units.within_document else np.lexsort((ids,))
+    changes = np.diff(ids[order_of]) != 0
+    if units.within_document:
+        changes |= (np.diff(tags[order_of]) != 0) | (np.diff(pos[order_of]) != 0)
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[order_of] = np.cumsum(np.r_[0, changes])
+    order = np.lexsort((rank, n_left, _bytes_key(left), n_right, _bytes_key(right), h))
+    return _Contexts(*(x[order] for x in (ids, tags, h, pos, n_left, n_right, left, right, rank)), [lines[i] for i in some[order].tolist()])
+
+
+def _later_spans(c: _Contexts, length: int) -> list[tuple[int, int, int, int]]:
+    """Spans (id, tag, start, end) of places that repeat one of lower rank."""
+    # Equal contexts: the row of lowest rank stands for them, the others repeat it.
+    equal = np.r_[False, (c.h[1:] == c.h[:-1]) & (c.n_left[1:] == c.n_left[:-1]) & (c.n_right[1:] == c.n_right[:-1]) & (c.left[1:] == c.left[:-1]).all(axis=1) & (c.right[1:] == c.right[:-1]).all(axis=1)]
+    group = np.cumsum(~equal) - 1
+    lowest = c.rank[~equal][group]
+    full = (c.rank > lowest) & (c.n_left + c.n_right >= length)
+    out = list(zip(c.ids[full].tolist(), c.tags[full].tolist(), (c.pos - c.n_left)[full].tolist(), (c.pos + c.n_right)[full].tolist(), strict=True))
+    rest = np.flatnonzero(~equal)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    starts, _ = _runs(c.h[rest])
+    sizes = np.diff(np.r_[starts, len(rest)])
+    # Two contexts are one group at most: all such pairs at once.
+    a, b = rest[starts[sizes == 2]], rest[starts[sizes == 2] + 1]
+    if len(a):
+        to_right = _common(c.right[a], c.right[b], np.minimum(c.n_right[a], c.n_right[b]))
+        to_left = _common(c.left[a], c.left[b], np.minimum(c.n_left[a], c.n_left[b]))
+        good = (to_right + to_left >= length) & (c.rank[a] != c.rank[b])
+        found.append((np.where(c.rank[a] > c.rank[b], a, b)[good], to_left[good], to_right[good]))
+    for k in np.flatnonzero(sizes > 2).tolist():
+        own = rest[starts[k] : starts[k] + sizes[k]]
+        for rows, to_left, to_right in repeat_groups(c.right[own], c.n_right[own], c.left[own], c.n_left[own], length):
+            later = own[rows][c.rank[own[rows]] > c.rank[own[rows]].min()]
+            found.append((later, np.full(len(later), to_left), np.full(len(later), to_right)))
+    same: dict[int, list[int]] = {}
+    for t in np.flatnonzero(equal & (c.rank == lowest)).tolist():  # as the row that stands for them
+        same.setdefault(int(group[t]), []).append(t)
+    for rows, to_left, to_right in found:
+        for i, x, y in zip(rows.tolist(), to_left.tolist(), to_right.tolist(), strict=True):
+            for j in (i, *same.get(int(group[i]), ())):
+                out.append((int(c.ids[j]), int(c.tags[j]), int(c.pos[j]) - x, int(c.pos[j]) + y))
+    return out
+
+
+def _contexts_in(rows: Iterator[tuple[int, bytes]], passed: list[tuple[int, bytes]]) -> tuple[list[np.ndarray], list[bytes]] | None:
+    parts, lines = [], []
+    for kind, payload in rows:
+        if kind != CONTEXTS:
+            passed.append((kind, payload))
+            continue
+        *columns, sizes, raw = thaw(payload)
+        parts.append(columns)
+        text, ends = raw.tobytes(), np.cumsum(sizes).tolist()
+        lines += [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return (_joined(parts), lines) if parts else None
 
+
+def _compare(units: Units, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_key(batches):
-            parts, lines = [], []
-            for kind, payload in rows:
-                if kind != CONTEXTS:
-                    yield _batch([(bucket, kind, payload)])
-                    continue
-                *columns, sizes, raw = thaw(payload)
-                parts.append(columns)
-                text, ends = raw.tobytes(), np.cumsum(sizes).tolist()
-                lines += [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            if parts:
-                out = _span_rows(spans_of(*_joined(parts), lines), buckets)
-                if out:
-                    yield _batch(out)
+            passed: list[tuple[int, bytes]] = []
+            got = _contexts_in(rows, passed)
+            out = [(bucket, kind, payload) for kind, payload in passed]
+            if got and (contexts := _sorted_contexts(units, *got)):
+                out += _span_rows(_later_spans(contexts, units.length), buckets)
+            if out:
+                yield _batch(out)
+
+    return run
+
+
+GROUPS = "group string, length int, n_documents int, occurrences array<struct<id: long, start: int>>"
+_GROUP_SCHEMA = pa.schema([
+    ("group", pa.string()), ("length", pa.int32()), ("n_documents", pa.int32()), ("occurrences", pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int32())]))),
+])
+
+
+def _picks(units: Units, c: _Contexts, row: int, before: int, after: int) -> bool:
+    """Whether the repeat picks the anchor by itself, so that all its occurrences have the anchor.
+
+    A repeat may also hold an anchor that is picked by what stands around it in some places; then
+    another anchor tells of the repeat.
+    """
+    own = units.cut(c.lines[row])
+    middle = int(c.n_left[row])
+    piece = units.context(own, middle - before, middle + after)
+    _, h, pos, *_ = units.anchors([piece])
+    return bool(((h & HASH_BITS == c.h[row]) & (pos == before)).any())
+
+
+def _list_groups(units: Units) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_key(batches):
+            got = _contexts_in(rows, [])
+            contexts = _sorted_contexts(units, *got) if got else None
+            if contexts is None:
+                continue
+            c, out = contexts, []
+            starts, _ = _runs(c.h)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(c.h)], strict=True):
+                for k, (at, before, after) in enumerate(repeat_groups(c.right[a:b], c.n_right[a:b], c.left[a:b], c.n_left[a:b], units.length)):
+                    places = sorted({(int(c.ids[i]), int(c.tags[i]), int(c.pos[i]) - before) for i in (a + at).tolist()})
+                    documents = {p[:2] for p in places}
+                    if not _picks(units, c, a + int(at[0]), before, after):
+                        continue
+                    if len(places) > 1 if units.within_document else len(documents) > 1:
+                        found = [{"id": None if i == NO_ID else i, "start": start} for i, _, start in places]
+                        out.append((f"{int(c.h[a]):012x}-{k}", before + after, len(documents), found))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out, strict=True), _GROUP_SCHEMA.types, strict=True)], schema=_GROUP_SCHEMA)
 
     return run
 
@@ -569,32 +618,51 @@ def _mark_copies(buckets: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, units: Units, id_col: str, text_col: str, result: Callable[[bytes], bytes] = lambda kept: kept) -> DataFrame:
-    """One row per input row: id, n_units, n_removed, n_spans, kept (or what ``result`` makes of it), spans.
-
-    A row whose text equals that of a smaller id is a copy as a whole and takes no part in the
-    comparison. Rows without an id come after all others. Rows are told apart by id and text:
-    rows equal in both get equal results.
-    """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """All rows, those whose text no smaller id has, the others' ids and tags, and the number of buckets."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs, id_col, text_col)
     digests = materialize(keyed.select("_id", "_tag", F.unhex(F.md5("_text")).alias("_md5")), "repeat-digests")
     firsts = digests.groupBy("_md5").agg(F.min("_id").alias("_first"))
     copies = materialize(digests.join(firsts, "_md5").where("_id > _first").select("_id", "_tag").distinct(), "repeat-copies")
     n_copies = copies.count()
     small = F.broadcast(copies) if n_copies <= 2_000_000 else copies
-    own = keyed.join(small, ["_id", "_tag"], "left_anti") if n_copies else keyed
+    return keyed, keyed.join(small, ["_id", "_tag"], "left_anti") if n_copies else keyed, copies, buckets
 
-    def exchange(rows: DataFrame) -> DataFrame:
-        return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
+def _exchange(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _shared_contexts(own: DataFrame, units: Units, buckets: int, collapse: bool) -> DataFrame:
     found = own.mapInArrow(_find_anchors(units, buckets), BLOCK)
-    shared = exchange(found).mapInArrow(_match_anchors(units, buckets), BLOCK)
+    shared = _exchange(found, buckets).mapInArrow(_match_anchors(units, buckets), BLOCK)
     with_texts = shared.unionByName(own.mapInArrow(_send_texts(buckets), BLOCK))
-    contexts = exchange(with_texts).mapInArrow(_cut_contexts(units, buckets), BLOCK)
-    spans = exchange(contexts).mapInArrow(_compare(units, buckets), BLOCK)
+    return _exchange(with_texts, buckets).mapInArrow(_cut_contexts(units, buckets, collapse), BLOCK)
+
+
+def list_repeats(docs: DataFrame, units: Units, id_col: str, text_col: str) -> DataFrame:
+    """Maximal repeats with all their occurrences: group, length, n_documents, occurrences (id, start).
+
+    Of rows with equal texts the smallest id stands for all. Contexts bound a group's length (76
+    bytes, or 34 words and some); a longer repeat shows as overlapping groups, one per anchor.
+    """
+    _, own, _, buckets = _distinct_texts(docs, id_col, text_col)
+    contexts = _shared_contexts(own, units, buckets, collapse=False)
+    return _exchange(contexts, buckets).mapInArrow(_list_groups(units), GROUPS)
+
+
+def remove_repeats(docs: DataFrame, units: Units, id_col: str, text_col: str, result: Callable[[bytes], bytes] = lambda kept: kept) -> DataFrame:
+    """One row per input row: id, n_units, n_removed, n_spans, kept (or what ``result`` makes of it), spans.
+
+    A row whose text equals that of a smaller id is a copy as a whole and takes no part in the
+    comparison. Rows without an id come after all others. Rows are told apart by id and text:
+    rows equal in both get equal results.
+    """
+    keyed, own, copies, buckets = _distinct_texts(docs, id_col, text_col)
+    contexts = _shared_contexts(own, units, buckets, collapse=True)
+    spans = _exchange(contexts, buckets).mapInArrow(_compare(units, buckets), BLOCK)
     spans = materialize(spans.unionByName(copies.mapInArrow(_mark_copies(buckets), BLOCK)), "repeat-spans")
     texts = keyed.mapInArrow(_send_texts(buckets), BLOCK)
-    return exchange(spans.unionByName(texts)).mapInArrow(_remove(units, result), RESULT).withColumnRenamed("_id", id_col)
+    return _exchange(spans.unionByName(texts), buckets).mapInArrow(_remove(units, result), RESULT).withColumnRenamed("_id", id_col)
 

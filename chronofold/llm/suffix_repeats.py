@@ -3,7 +3,8 @@
 The suffixes are those that start at minimizers, so every repeated string of 50 bytes holds
 one at the same place in each occurrence. Sorted by their right contexts, with the lengths of
 neighbours' common prefixes, they are scanned with a stack into the common-prefix interval
-tree; see repeats.interval_spans.
+tree, and each interval is split by its left extensions into maximal repeats with all their
+occurrences; see repeats.repeat_groups.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.repeats import Units, remove_repeats
+from chronofold.llm.repeats import Units, list_repeats, remove_repeats
 
 LENGTH = 50
 #: Bytes of a minimizer; a string of LENGTH bytes has LENGTH - GRAM + 1 of them to choose from.
@@ -89,6 +90,11 @@ BYTES = Units(
 )
 
 
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Maximal repeats of 50 bytes and more across rows: group, length, n_documents, occurrences; see list_repeats."""
+    return list_repeats(docs, BYTES, id_col, text_col)
+
+
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (bytes), spans.
 

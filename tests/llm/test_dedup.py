@@ -289,3 +289,29 @@ def test_decontamination_without_the_filter(spark, monkeypatch):
     filtered = rows()
     monkeypatch.setattr(decontamination, "FILTER_HASHES", -1)
     assert rows() == filtered and filtered
+
+
+def test_maximal_repeat_groups(spark):
+    """Each group is a repeat whose occurrences agree, reach no further on either side, and are all there."""
+    docs = [(i, t) for i, t in corpus(12, 25, 30)]
+    own = {}
+    for i, t in sorted(docs):
+        own.setdefault(t.encode(), i)
+    texts = {i: t for t, i in own.items()}
+    groups = suffix_repeats.repeat_groups(frame(spark, docs)).collect()
+    assert groups
+    for g in groups:
+        cuts = {texts[o.id][o.start : o.start + g.length] for o in g.occurrences}
+        assert len(cuts) == 1 and len({o.id for o in g.occurrences}) == g.n_documents > 1
+        piece = cuts.pop()
+        everywhere = {(i, p) for i, t in texts.items() for p in range(len(t) - g.length + 1) if t.startswith(piece, p)}
+        assert {(o.id, o.start) for o in g.occurrences} == everywhere
+    # Together they cover what is removed.
+    covered = {}
+    for g in groups:
+        low = min(o.id for o in g.occurrences)
+        for o in g.occurrences:
+            if o.id > low:
+                covered.setdefault(o.id, set()).update(range(o.start, o.start + g.length))
+    want = {i: n for i, (_, n, _, _) in brute_bytes(sorted((i, t) for t, i in own.items())).items() if n}
+    assert {i: len(c) for i, c in covered.items()} == want
