@@ -9,39 +9,47 @@ from chronofold.functions.lifecycle import is_terminal
 from chronofold.sources.scratch import materialize
 
 DEEPEST = 8
+#: Joins of one round of a closure.
+HOPS = 4
 
 
-def reachable(edges: DataFrame, start: DataFrame, parent: str, child: str) -> DataFrame:
-    """(origin, node) for every node that edges parent → child reach from each start, cycles or not.
+def _spread(start: DataFrame, step: DataFrame) -> DataFrame:
+    """All rows (origin, node) that steps (node, next) reach from those of ``start``.
 
-    Steps go on from new pairs only, so diamonds cost no repeats; each step is a join and an
-    anti-join, written to the shared folder.
+    Steps go on from new rows only, so diamonds cost no repeats and cycles end. A round takes
+    HOPS joins before what it found is compared with what is known and written to the shared
+    folder; only rows of its last hop have not been followed yet.
     """
-    step = edges.select(F.col(parent).alias("node"), F.col(child).alias("next"))
-    frontier = start.select(F.col(start.columns[0]).alias("origin"), F.col(start.columns[0]).alias("node")).distinct()
-    seen = None
+    frontier, seen = start, None
     while True:
-        found = frontier.join(step, "node").select("origin", F.col("next").alias("node")).distinct()
+        level, levels = frontier, []
+        for hop in range(HOPS):
+            level = level.join(step, "node").select("origin", F.col("next").alias("node")).distinct()
+            levels.append(level.withColumn("hop", F.lit(hop)))
+        found = levels[0]
+        for more in levels[1:]:
+            found = found.unionByName(more)
+        found = found.groupBy("origin", "node").agg(F.max("hop").alias("hop"))
         if seen is not None:
             found = found.join(seen, ["origin", "node"], "left_anti")
         found = materialize(found, "reach")
-        if found.isEmpty():
-            return seen if seen is not None else found
         seen = found if seen is None else seen.unionByName(found)
-        frontier = found
+        frontier = found.where(F.col("hop") == HOPS - 1).select("origin", "node")
+        if frontier.isEmpty():
+            return seen.select("origin", "node")
+
+
+def reachable(edges: DataFrame, start: DataFrame, parent: str, child: str) -> DataFrame:
+    """(origin, node) for every node that edges parent → child reach from each start, cycles or not."""
+    first = F.col(start.columns[0])
+    return _spread(start.select(first.alias("origin"), first.alias("node")).distinct(), edges.select(F.col(parent).alias("node"), F.col(child).alias("next")))
 
 
 def failed_closure(edges: DataFrame, failed: DataFrame) -> DataFrame:
     """Tasks that cannot run since a prerequisite, direct or not, has failed: task_id."""
-    step = edges.select(F.col("prereq_id").alias("task_id"), F.col("task_id").alias("next"))
-    seen = frontier = materialize(failed.select("task_id").distinct(), "failed")
-    first = seen
-    while True:
-        found = frontier.join(step, "task_id").select(F.col("next").alias("task_id")).distinct().join(seen, "task_id", "left_anti")
-        frontier = materialize(found, "failed")
-        if frontier.isEmpty():
-            return seen.join(first, "task_id", "left_anti")
-        seen = seen.unionByName(frontier)
+    start = failed.select(F.lit(0).alias("origin"), F.col("task_id").alias("node")).distinct()
+    below = _spread(start, edges.select(F.col("prereq_id").alias("node"), F.col("task_id").alias("next")))
+    return below.select(F.col("node").alias("task_id")).join(failed.select("task_id"), "task_id", "left_anti")
 
 
 def eligibility(tasks: DataFrame, edges: DataFrame, outcomes: DataFrame) -> DataFrame:
