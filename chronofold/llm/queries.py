@@ -78,6 +78,15 @@ ORACLE_SQL = {
                CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to, url
         FROM d
     """,
+    "op7_recompression_repeats": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, ws, len(ws) AS n FROM d),
+        win AS (SELECT doc_id, k, word, n, CASE WHEN k <= n - 19 THEN array_to_string(list_slice(ws, k, k + 19), ' ') END AS s FROM w),
+        f AS (SELECT doc_id, k, word, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, k) > 1 AS again FROM win),
+        c AS (SELECT doc_id, k, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+        g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)
+    """,
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
