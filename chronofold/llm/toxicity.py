@@ -21,7 +21,7 @@ TOKEN = re.compile(r"[^\W_]+|[.!?\n]+")
 SENTENCE_WORDS = 40
 PREFIXES = (3, 4, 5, 6)
 #: Most labelled documents of either class that are drawn for training, in the order of a hash of their ids.
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 2500
 FOLDS = 5
 
 
