@@ -8,6 +8,7 @@ hit is verified by extending the overlap around it word by word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,13 +19,12 @@ from pyspark.sql import functions as F
 from chronofold.llm.common import broadcast_if_small, materialize
 from chronofold.llm.license_scan import words_of
 
-# Seeds of 13 words of which 9 count.
-SEEDS = ("1101100111011", "1110010110111", "1011101011101")
-SPAN = 13
-#: Items of fewer words than a seed are matched as a whole; below this they are too common to be looked for.
-LEAST_ITEM_WORDS = 5
 #: An overlap counts with so many words (or the whole of a shorter item) of which such a share is equal.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
+#: Every overlap holds one of these seeds. A longer one has a half that counts, down to 13 to 25 words.
+#: There, m words with e <= m / 5 changed have a run of at least (m - e) / (e + 1) equal ones, which is above 3
+#: unless m = 15 and e = 3; and the only pattern of those without a run of four is the second seed.
+SEEDS = ("1111", "111011101110111")
 #: Words that a hit is extended by on either side, at most.
 REACH = 60
 #: With at most so many test hashes, each task drops training hashes that no item has before the join.
@@ -34,9 +34,22 @@ REGION = "_id long, first int, words string, hits array<struct<seed: int, at: in
 
 
 def _masks(sizes: list[int]) -> list[tuple[int, np.ndarray]]:
-    """(span, kept offsets) of all seeds: the spaced ones, and for each size of a short item all its words."""
-    spaced = [(SPAN, np.flatnonzero([c == "1" for c in m])) for m in SEEDS]
-    return spaced + [(k, np.arange(k)) for k in sizes]
+    """(span, kept offsets) of all seeds: the spaced ones, and for each size of a short item those of the whole item.
+
+    Where a short item may have e changed words, its words are cut into e + 2 blocks, and each
+    seed leaves out e of them, so one seed leaves out whatever is changed.
+    """
+    out = [(len(m), np.flatnonzero([c == "1" for c in m])) for m in SEEDS]
+    for n in sizes:
+        changed = _changed(n)
+        blocks = np.array_split(np.arange(n), changed + 2) if changed else [np.arange(n)]
+        out += [(n, np.concatenate(kept)) for kept in combinations(blocks, len(blocks) - changed)]
+    return out
+
+
+def _changed(n: int) -> int:
+    """Words of n that may differ."""
+    return next(e for e in range(n, -1, -1) if n - e >= LEAST_SHARE * n)
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -105,13 +118,19 @@ def _regions(docs: DataFrame, masks: list, wanted: np.ndarray | None, id_col: st
 
 
 def extend(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(start in the item, words, equal words) of the best overlap on a diagonal.
+    """(start in the item, words, equal words) of the best overlap on a diagonal, zeros for none.
 
-    ``shift`` is the document's position of the item's first word. Every stretch whose share of
-    equal words is at least LEAST_SHARE counts; the one with the most equal words is taken. With
-    equal words worth 1 - share and others minus share, that is the stretch of positive sum
-    with most equal words; it begins and ends with an equal word.
+    ``shift`` is the document's position of the item's first word. Every stretch of LEAST_WORDS
+    whose share of equal words is at least LEAST_SHARE counts; the one with the most equal words
+    is taken. With equal words worth 1 - share and others minus share, that is the stretch of
+    positive sum with most equal words; it begins and ends with an equal word. A shorter item
+    counts as a whole.
     """
+    if len(item) < LEAST_WORDS:
+        if shift < 0 or shift + len(item) > len(doc):
+            return 0, 0, 0
+        equal = int((item == doc[shift : shift + len(item)]).sum())
+        return (0, len(item), equal) if equal >= LEAST_SHARE * len(item) else (0, 0, 0)
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     if b <= a:
         return 0, 0, 0
@@ -126,7 +145,7 @@ def extend(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int
         while start <= end and not same[start]:
             start += 1
         equal = int(count[end + 1] - count[start])
-        if equal > best[2]:
+        if equal > best[2] and end + 1 - start >= LEAST_WORDS:
             best = (a + start, end + 1 - start, equal)
     return best
 
@@ -138,8 +157,9 @@ def overlaps(
 
     Words are runs of ASCII letters and digits and of characters outside ASCII, lower-cased in
     A-Z. Reported is the overlap with the most equal words around hits: at least 13 words, or
-    the whole item where it is shorter, with at least four fifths equal. Items of fewer than 5
-    words, null and empty ones are not looked for. Null ids are kept, as one row per item;
+    the whole item where it is shorter, with at least four fifths equal. Every such overlap has
+    a hit, so none is missed; an item of a word or two is found wherever they stand. Items
+    without words are not looked for. Null ids are kept, as one row per item;
     repeated rows give a row once. Empty tables give no rows; other columns are ignored.
 
     All training texts are hashed whole, at every word. With few test hashes (their number is
@@ -152,11 +172,11 @@ def overlaps(
 
     items = materialize(
         benchmark.select(F.col(item_col).cast("long").alias("_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("_text"))
-        .mapInPandas(number_items, "item long, item_words string, n int").where(F.col("n") >= LEAST_ITEM_WORDS),
+        .mapInPandas(number_items, "item long, item_words string, n int").where(F.col("n") > 0),
         "items",
     )
-    # At most SPAN - LEAST_ITEM_WORDS sizes.
-    sizes = sorted(r["n"] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())
+    # Fewer than LEAST_WORDS sizes.
+    sizes = sorted(r["n"] for r in items.where(F.col("n") < LEAST_WORDS).select("n").distinct().collect())
     masks = _masks(sizes)
 
     def hash_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +185,7 @@ def overlaps(
             for item, line, n in zip(batch["item"], batch["item_words"], batch["n"], strict=True):
                 hashes = _word_hashes(line.encode("utf-8", "surrogatepass").split(b" "))
                 for seed, mask in enumerate(masks):
-                    if (n >= SPAN) == (seed < len(SEEDS)) and (n >= SPAN or mask[0] == n):
+                    if (n >= LEAST_WORDS) == (seed < len(SEEDS)) and (n >= LEAST_WORDS or mask[0] == n):
                         made = _seed_hashes(hashes, seed, mask).view(np.int64)
                         rows += [(None if pd.isna(item) else int(item), seed, h, at) for at, h in enumerate(made.tolist())]
             yield pd.DataFrame(rows, columns=["item", "seed", "hash", "item_at"]).astype({"item": "Int64"})
@@ -198,7 +218,7 @@ def overlaps(
                 doc = _word_hashes(line.encode("utf-8", "surrogatepass").split(b" "))
                 test = _word_hashes(own.encode("utf-8", "surrogatepass").split(b" "))
                 at, n, equal, shift = max(((*extend(doc, test, int(s)), int(s)) for s in shifts), key=lambda x: (x[2], -x[1], -x[3]))
-                if n and n >= min(LEAST_WORDS, len(test)) and equal >= LEAST_SHARE * n:
+                if n:
                     rows.append((None if pd.isna(key) else int(key), None if pd.isna(item) else int(item), first + shift + at, at, n, equal, equal / n))
             yield pd.DataFrame(rows, columns=["_id", "item", "doc_start", "item_start", "n_words", "n_equal", "share"]).astype({"_id": "Int64", "item": "Int64"})
 

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -281,6 +282,51 @@ def test_decontamination(spark):
     assert decontamination.overlaps(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_every_overlap_has_a_seed():
+    """Each pattern of 13 to 25 words that counts, and each of a shorter item, shows all words of a seed."""
+    for n in range(1, 26):
+        changed = n // 5
+        masks = decontamination._masks([n])[len(decontamination.SEEDS) :] if n < 13 else decontamination._masks([])
+        want = [sum(1 << int(k) + at for k in kept) for span, kept in masks for at in range(n - span + 1)]
+        for gone in itertools.combinations(range(n), changed):
+            lost = sum(1 << g for g in gone)
+            assert any(not lost & w for w in want), (n, gone)
+
+
+def test_decontamination_of_changed_words(spark):
+    """Items of every length with every number of changed words that the criterion allows, whichever they are."""
+    rng = random.Random(17)
+    items, docs, want = [], [], set()
+    for n in [*range(1, 31), 40, 60]:
+        for again in range(6):
+            item = [f"i{n}r{again}w{k}" for k in range(n)]
+            key = len(items)
+            items.append((key, " ".join(item)))
+            inner = range(n) if n < 13 else range(1, n - 1)  # a longer overlap begins and ends with an equal word
+            for changed in {0, n // 5, n // 5 + 1} if n < 26 else {0, n // 5}:
+                copy = list(item)
+                for p in rng.sample(inner, min(changed, len(inner))):
+                    copy[p] = f"x{rng.randrange(10**6)}"
+                if changed <= n // 5:
+                    want.add((len(docs), key))
+                elif n >= 13:
+                    continue
+                docs.append((len(docs), " ".join(["a", "b", *copy, "c"])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(frame(spark, docs), bench).collect()}
+    assert got == want
+
+
+def test_overlap_beside_a_shorter_one_with_more_equal_words():
+    """Twelve equal words do not count; thirteen with eleven equal on the same diagonal do."""
+    item = np.arange(60)
+    doc = item.copy()
+    doc[12:30] = -1
+    doc[[35, 38]] = -1
+    doc[43:] = -1
+    assert decontamination.extend(doc, item, 0) == (30, 13, 11)
+
+
 def test_decontamination_without_the_filter(spark, monkeypatch):
     """With more test hashes than are handed to tasks, all training hashes are joined: the same result."""
     docs = corpus(6, 12)
