@@ -140,15 +140,18 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def bucket_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(
+    fps: np.ndarray, bucket: np.ndarray, radius: int, joined: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all fingerprints within the radius of each other, by bucket.
 
     Rows are sorted by bucket; a fingerprint is a row of words. Every pair of a bucket that is not yet connected is compared,
     one row distance at a time; pairs already connected are left out, so a dense group
-    costs a few passes and gives one link per member.
+    costs a few passes and gives one link per member. Rows of a bucket whose ``joined`` is equal
+    are connected from the start.
     """
     n = len(fps)
-    parent = np.arange(n)
+    parent = np.arange(n) if joined is None else _first_alike(bucket, joined)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     largest = int(np.diff(np.r_[starts, n]).max()) if n else 0
     if largest < 2:
@@ -178,6 +181,31 @@ def bucket_links(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.n
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
+def _first_alike(bucket: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Per row the first row of its bucket with the same ``joined``."""
+    order = np.lexsort((joined, bucket))
+    b, j = bucket[order], joined[order]
+    new = np.r_[True, (b[1:] != b[:-1]) | (j[1:] != j[:-1])][: len(b)]
+    out = np.empty(len(b), dtype=np.int64)
+    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return out
+
+
+def open_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a bucket within the radius whose ``joined`` differs; rows are sorted by bucket."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    largest = int(np.diff(np.r_[starts, len(fps)]).max()) if len(fps) else 0
+    left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    planes = _Planes(fps) if largest > 1 else None
+    for shift in range(1, largest):
+        wanted = (bucket[:-shift] == bucket[shift:]) & (joined[:-shift] != joined[shift:])
+        if wanted.any():
+            hits = planes.near(shift, wanted, radius)
+            left.append(hits)
+            right.append(hits + shift)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _bucket_numbers(choice: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])][: len(key)])
 
@@ -257,6 +285,8 @@ def near_duplicates(
 #: 64-bit words of a wide fingerprint, and the tables of sampled bits that bring candidates together:
 #: documents that share 0.8 of their shingles agree on a table's bits in 1 of 10 cases, so 48 miss 1 in 100.
 WIDE, TABLES, TABLE_BITS = 4, 48, 14
+#: A pass that leaves more than this share of the groups makes the next one the last, which compares all.
+ENOUGH = 0.9
 
 
 def wide_fingerprint(hashes: np.ndarray) -> list[int]:
@@ -292,44 +322,49 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Candidates come from wide fingerprints in tables of sampled bits; within a bucket the
     bit-sliced comparison links those whose distance speaks for the similarity, with some
     room, and every link is verified on the shingles themselves. Links in a bucket form a
-    forest, so a large group of copies gives a link per member and table. A pair that the
-    forest has left out, since links connected it that then failed, is found in another pass:
-    the rows with candidates that are left are compared again, in another order, until a pass
-    finds nothing.
+    forest, so a large group of copies gives a link per member and table. Links that fail
+    connect nothing: further passes start from what verified links connect, each in another
+    order, while they connect enough; a last one verifies every pair within the distance that
+    is still not connected, so nothing the tables bring together is left out. All rows stay
+    partners until then, and groups are taken once over all verified links.
     """
     radius = round(64 * WIDE * bits_apart(jaccard - 0.15))
     rows = materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "similar-rows")
     texts = rows.select("_row", text_or_empty(text_col).alias("_text"))
     prints = materialize(texts.mapInPandas(_wide(words), f"row long, {_FIELDS}"), "similar-prints")
     ids = rows.select("_row", F.col(id_col).alias("_id"))
-    active, sets, losers, turn = prints, None, [], 0
+    active = prints.withColumn("joined", F.col("row"))
+    sets = done = verified = None
+    groups, turn, last = 0, 0, False
     while True:
-        pairs = materialize(_candidates(active, radius, turn), "similar-pairs")
-        ends = materialize(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "similar-ends")
-        n_ends = ends.count()
-        if n_ends == 0:
-            break
+        pairs = _candidates(active, radius, turn, every=last)
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "similar-pairs")
         if sets is None:
+            # The first pass gives every row that has a neighbour within the radius a link.
+            ends = materialize(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "similar-ends")
+            groups = n_ends = ends.count()
+            if n_ends == 0:
+                return rows.drop("_row")
             small = broadcast_if_small(ends, n_ends, 2_000_000)
             sets = materialize(texts.join(small, texts["_row"] == small["row"], "left_semi").mapInPandas(_shingle_sets(words), "row long, s array<long>"), "similar-sets")
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         links = materialize(both.where(common >= jaccard * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar-links")
-        if links.isEmpty():
+        done = pairs if done is None else done.unionByName(pairs)
+        verified = links if verified is None else verified.unionByName(links)
+        roots = materialize(components(verified), "similar-roots")
+        if last:
             break
-        order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
-        members = ids.join(components(links), F.col("_row") == F.col("node")).select("root", "_row", order.alias("o"))
-        members = materialize(members, "similar-members")
-        stays = members.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias("_row"))
-        gone = materialize(members.select("_row").join(stays, "_row", "left_anti"), "similar-gone")
-        losers.append(gone)
-        left = ends.join(gone, ends["row"] == gone["_row"], "left_anti")
-        active, turn = prints.join(left, "row", "left_semi"), turn + 1
-    if not losers:
-        return rows.drop("_row")
-    gone = losers[0]
-    for more in losers[1:]:
-        gone = gone.unionByName(more)
+        now = n_ends - roots.where("node <> root").count()
+        last, groups, turn = now > ENOUGH * groups, now, turn + 1
+        active = prints.join(ends, "row", "left_semi").join(roots, F.col("row") == F.col("node"), "left").select(*prints.columns, F.coalesce("root", "row").alias("joined"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    members = ids.join(roots, F.col("_row") == F.col("node")).select("root", "_row", order.alias("o"))
+    members = materialize(members, "similar-members")
+    stays = members.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias("_row"))
+    gone = materialize(members.select("_row").join(stays, "_row", "left_anti"), "similar-gone")
     return rows.join(broadcast_if_small(gone, gone.count(), 2_000_000), "_row", "left_anti").drop("_row")
 
 
@@ -354,8 +389,11 @@ def _shingle_sets(words: int) -> Callable:
     return shingle
 
 
-def _candidates(prints: DataFrame, radius: int, turn: int) -> DataFrame:
-    """(a, b), a before b: links between rows of a bucket whose fingerprints are within the radius."""
+def _candidates(prints: DataFrame, radius: int, turn: int, every: bool) -> DataFrame:
+    """(a, b), a before b: pairs of a bucket whose fingerprints are within the radius and whose ``joined`` differs.
+
+    ``every`` gives all of them, else a forest of each bucket.
+    """
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -364,7 +402,7 @@ def _candidates(prints: DataFrame, radius: int, turn: int) -> DataFrame:
             fps = batch[[f"f{k}" for k in range(WIDE)]].to_numpy(dtype=np.int64)
             out = pd.DataFrame({
                 "choice": np.tile(np.arange(TABLES, dtype=np.int32), len(batch)), "key": table_keys(np.ascontiguousarray(fps).view(np.uint64)).reshape(-1).astype(np.int32),
-                "row": np.repeat(batch["row"].to_numpy(), TABLES),
+                "row": np.repeat(batch["row"].to_numpy(), TABLES), "joined": np.repeat(batch["joined"].to_numpy(), TABLES),
             })
             for k in range(WIDE):
                 out[f"f{k}"] = np.repeat(fps[:, k], TABLES)
@@ -375,10 +413,10 @@ def _candidates(prints: DataFrame, radius: int, turn: int) -> DataFrame:
         batch = batch[np.bincount(bucket)[bucket] > 1]
         bucket = _bucket_numbers(batch["choice"].to_numpy(), batch["key"].to_numpy())
         fps = np.ascontiguousarray(batch[[f"f{k}" for k in range(WIDE)]].to_numpy(dtype=np.int64)).view(np.uint64)
-        i, j = bucket_links(fps, bucket, radius)
+        i, j = (open_pairs if every else bucket_links)(fps, bucket, radius, batch["joined"].to_numpy())
         row = batch["row"].to_numpy()
         return pd.DataFrame({"a": np.minimum(row[i], row[j]), "b": np.maximum(row[i], row[j])})
 
-    dealt = prints.mapInPandas(deal, f"choice int, key int, row long, {_FIELDS}").withColumn("rank", F.xxhash64("row", F.lit(turn)))
+    dealt = prints.mapInPandas(deal, f"choice int, key int, row long, joined long, {_FIELDS}").withColumn("rank", F.xxhash64("row", "choice", F.lit(turn)))
     sorted_rows = dealt.repartition("choice", "key").sortWithinPartitions("choice", "key", "rank", "row")
     return sorted_rows.mapInPandas(_whole_buckets(link), "a long, b long").distinct()

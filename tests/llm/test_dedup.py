@@ -168,6 +168,52 @@ def test_similar_documents_go(spark):
     assert simhash.drop_similar(frame(spark, [])).count() == 0
 
 
+def test_similar_star(spark):
+    """A text and its independently edited copies, each near the text but not near each other, in any order of ids."""
+    rng = random.Random(21)
+    docs, hubs = [], {0: 150, 1: 10**4}
+    for f, hub in hubs.items():
+        base = [f"w{f}_{rng.randrange(5000)}" for _ in range(400)]
+        docs.append((hub, " ".join(base)))
+        for k in range(300):
+            copy = list(base)
+            for p in rng.sample(range(400), 8):
+                copy[p] = f"new{rng.randrange(10**6)}"
+            docs.append((f * 1000 + 200 + k if k > 40 else f * 1000 + k, " ".join(copy)))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in docs}
+    ids = sorted(sets)
+    sizes = np.array([len(sets[i]) for i in ids])
+    known = {s: k for k, s in enumerate(sorted(set().union(*sets.values())))}
+    held = np.zeros((len(ids), len(known)), dtype=np.float32)
+    for k, i in enumerate(ids):
+        held[k, [known[s] for s in sets[i]]] = 1
+    common = held @ held.T
+    near = common >= 0.8 * (sizes[:, None] + sizes[None, :] - common)
+    assert near.sum() < 3 * len(ids) + 100  # the copies are near the hub, hardly any near another
+    texts = dict(docs)
+    fps = np.array([simhash.wide_fingerprint(np.unique(simhash.shingle_hashes(texts[i], 5))) for i in ids], dtype=np.uint64)
+    keys = simhash.table_keys(fps)
+    met = np.array([(np.bitwise_count(fps ^ f).sum(axis=1) <= 54) & (keys == k).any(axis=1) for f, k in zip(fps, keys, strict=True)])
+    roots = brute_components(range(len(ids)), lambda a, b: near[a, b] and met[a, b])
+    left = {r.doc_id for r in simhash.drop_similar(frame(spark, docs)).collect()}
+    assert left == {ids[r] for r in set(roots)}
+    assert len(left) <= 2 + 0.02 * len(docs)  # what no table brings together
+
+
+def test_open_pairs():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 4, (90, 4), dtype=np.uint64)
+    bucket, joined = np.sort(rng.integers(0, 3, 90)), rng.integers(0, 20, 90)
+    i, j = simhash.open_pairs(fps, bucket, 3, joined)
+    want = {(a, b) for b in range(90) for a in range(b) if bucket[a] == bucket[b] and joined[a] != joined[b] and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 3}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
+    i, j = simhash.bucket_links(fps, bucket, 3, joined)
+    links = set(zip(i.tolist(), j.tolist(), strict=True))
+    alike = lambda a, b: bucket[a] == bucket[b] and joined[a] == joined[b]
+    want = brute_components(range(90), lambda a, b: alike(a, b) or bucket[a] == bucket[b] and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 3)
+    assert brute_components(range(90), lambda a, b: alike(a, b) or (b, a) in links or (a, b) in links) == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 20), (30, 31), (31, 30), (4, 1), *((i, i + 1) for i in range(100, 160))]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
