@@ -3,7 +3,8 @@
 Fingerprints are made per document, then only distinct ones are compared. Two fingerprints
 that differ in few bits agree on whole blocks of bits, so each goes to the buckets of its
 block choices. Within a bucket bit planes are stored vertically: a machine word holds one bit
-of 64 fingerprints, and carry-save counters add up 64 distances at a time.
+of 64 fingerprints, and carry-save counters add up 64 distances at a time. A bucket of more
+than BUCKET rows is dealt in pairs of tiles, so that no task gets it whole.
 """
 
 from __future__ import annotations
@@ -17,13 +18,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import broadcast_if_small, materialize, text_or_empty
+from chronofold.llm.common import broadcast_if_small, fresh_name, materialize, text_or_empty, with_groups
 from chronofold.llm.components import components
 
 RADIUS = 4
 SEED = 42
 #: Planes between two looks at whether a block may be abandoned.
 STRIDE = 6
+#: Rows of a bucket that one task compares; larger buckets are dealt in pairs of tiles.
+BUCKET = 16_384
+#: Rows that are compared at once, in whole buckets: many short buckets share the numpy calls.
+BLOCK = 131_072
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -141,14 +146,16 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def bucket_links(
-    fps: np.ndarray, bucket: np.ndarray, radius: int, joined: np.ndarray | None = None
+    fps: np.ndarray, bucket: np.ndarray, radius: int, joined: np.ndarray | None = None,
+    accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all fingerprints within the radius of each other, by bucket.
 
-    Rows are sorted by bucket; a fingerprint is a row of words. Every pair of a bucket that is not yet connected is compared,
-    one row distance at a time; pairs already connected are left out, so a dense group
-    costs a few passes and gives one link per member. Rows of a bucket whose ``joined`` is equal
-    are connected from the start.
+    Rows are sorted by bucket; a fingerprint is a row of words. Every pair of a bucket that is
+    not yet connected is compared, one row distance at a time; pairs already connected are left
+    out, so a dense group costs a few passes and gives one link per member. Rows of a bucket
+    whose ``joined`` is equal are connected from the start. Of pairs within the radius only
+    those that ``accept`` takes are links; the others connect nothing.
     """
     n = len(fps)
     parent = np.arange(n) if joined is None else _first_alike(bucket, joined)
@@ -170,6 +177,8 @@ def bucket_links(
         if not wanted.any():
             continue
         hits = planes.near(shift, wanted, radius)
+        if accept is not None and len(hits):
+            hits = hits[accept(hits, hits + shift)]
         for i in hits.tolist():
             a, b = find(i), find(i + shift)
             if a != b:
@@ -191,64 +200,90 @@ def _first_alike(bucket: np.ndarray, joined: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a bucket within the radius whose ``joined`` differs; rows are sorted by bucket."""
+def open_rows(fps: np.ndarray, bucket: np.ndarray, radius: int, joined: np.ndarray) -> np.ndarray:
+    """Whether each row has another of its bucket within the radius whose ``joined`` differs.
+
+    Pairs of which both rows are known to have one are not compared.
+    """
+    marked = np.zeros(len(fps), dtype=bool)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     largest = int(np.diff(np.r_[starts, len(fps)]).max()) if len(fps) else 0
-    left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     planes = _Planes(fps) if largest > 1 else None
     for shift in range(1, largest):
-        wanted = (bucket[:-shift] == bucket[shift:]) & (joined[:-shift] != joined[shift:])
+        wanted = (bucket[:-shift] == bucket[shift:]) & (joined[:-shift] != joined[shift:]) & ~(marked[:-shift] & marked[shift:])
         if wanted.any():
             hits = planes.near(shift, wanted, radius)
-            left.append(hits)
-            right.append(hits + shift)
-    return np.concatenate(left), np.concatenate(right)
+            marked[hits] = True
+            marked[hits + shift] = True
+    return marked
 
 
-def _bucket_numbers(choice: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])][: len(key)])
+def _bucket_numbers(rows: pd.DataFrame) -> np.ndarray:
+    key, tile = rows["key"].to_numpy(), rows["tile"].to_numpy()
+    return np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])][: len(key)])
 
 
-def _whole_buckets(link: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable:
-    """Calls ``link`` on runs of rows, sorted by choice and key, that hold whole buckets."""
+def _whole_buckets(work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], most: int = BLOCK) -> Callable:
+    """Calls ``work`` on rows, sorted by key and tile, of whole buckets of two and more, and their bucket numbers."""
+
+    def several(rows: pd.DataFrame) -> pd.DataFrame:
+        number = _bucket_numbers(rows)
+        rows = rows[np.bincount(number)[number] > 1]
+        return work(rows, _bucket_numbers(rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
-        last = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
             if len(batch) == 0:
                 continue
-            # A bucket may go on in the next batch: hold back the last one.
-            end = (batch["choice"].iat[-1], batch["key"].iat[-1])
-            first = int(np.flatnonzero((batch["choice"].to_numpy() == end[0]) & (batch["key"].to_numpy() == end[1]))[0])
-            if first == 0 and (not waiting or last == end):
-                waiting.append(batch)
-            else:
-                yield link(pd.concat([*waiting, batch.iloc[:first]]))
-                waiting = [batch.iloc[first:]]
-            last = end
-        if waiting:
-            yield link(pd.concat(waiting))
+            held.append(batch)
+            if sum(map(len, held)) < most:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            number = _bucket_numbers(rows)
+            cut = int(np.searchsorted(number, number[-1]))  # the last bucket may go on in the next batch
+            if cut:
+                yield several(rows.iloc[:cut])
+            held = [rows.iloc[cut:]]
+        if held:
+            yield several(pd.concat(held, ignore_index=True))
 
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with a bucket ``key``, partitioned and sorted by key and tile.
+
+    Buckets are counted first. One of more than BUCKET rows is cut into tiles by a hash of the
+    row, and each row goes to the pairs of its tile with every tile: any two rows of the bucket
+    still meet, and no task holds more than two tiles of it.
+    """
+    large = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET), "large-buckets")
+    n_large = large.count()
+    if n_large == 0:
+        tiled = rows.withColumn("tile", F.lit(0).cast("long"))
+    else:
+        tiles = large.select("key", F.ceil(F.col("n") / BUCKET).cast("long").alias("tiles"))
+        known = rows.join(broadcast_if_small(tiles, n_large), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+        known = known.withColumn("own", F.pmod(F.xxhash64(*rows.columns), F.col("tiles")))
+        every = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        tiled = every.select(*rows.columns, (F.least("own", "other") * F.col("tiles") + F.greatest("own", "other")).alias("tile"))
+    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+
 def fingerprint_links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
     """(a, b): links that connect every two fingerprints of column fp within the radius."""
     masks = block_masks(radius, blocks_for(n, radius))
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
-    dealt = distinct.select("fp", F.inline(keys)).repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])
+    # A key is a hash of the choice and its bits: two buckets that share one by chance are compared together.
+    keyed = distinct.select("fp", F.inline(keys)).select(F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
+    def link(rows: pd.DataFrame, bucket: np.ndarray) -> pd.DataFrame:
         fps = rows["fp"].to_numpy(dtype=np.int64)
-        bucket = _bucket_numbers(rows["choice"].to_numpy(), rows["key"].to_numpy())
-        several = np.bincount(bucket)[bucket] > 1
-        fps, bucket = fps[several], bucket[several]
-        i, j = bucket_links(fps.view(np.uint64).reshape(-1, 1), bucket, radius)
+        i, j = bucket_links(np.ascontiguousarray(fps).view(np.uint64).reshape(-1, 1), bucket, radius)
         return pd.DataFrame({"a": fps[i], "b": fps[j]})
 
-    return dealt.mapInPandas(_whole_buckets(link), "a long, b long")
+    return _dealt(keyed).mapInPandas(_whole_buckets(link), "a long, b long")
 
 
 def _signed(x: int) -> int:
@@ -267,26 +302,29 @@ def near_duplicates(
     of ``docs`` are ignored.
     """
     made = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
-    distinct = materialize(made.groupBy("fp").agg(F.min("_id").alias("low")), "simhash-distinct")
+    distinct = materialize(made.groupBy("fp").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     links = fingerprint_links(distinct.select("fp"), radius, distinct.count())
     roots = components(links)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = rooted.join(lowest, "root").select("fp", "component_id")
-    return made.join(by_fp, "fp").select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    several = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1")
+    by_fp = materialize(rooted.join(several, "root").select("fp", "component_id", "n"), "simhash-components")
+    # A row alone in its component is its own.
+    return with_groups(made.withColumn("alone", F.col("_id")), by_fp, "fp", "n").select(
+        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "alone").alias("component_id")
     )
 
 
 # -- documents of a given similarity --------------------------------------------------------------
 
-#: 64-bit words of a wide fingerprint, and the tables of sampled bits that bring candidates together:
-#: documents that share 0.8 of their shingles agree on a table's bits in 1 of 10 cases, so 48 miss 1 in 100.
-WIDE, TABLES, TABLE_BITS = 4, 48, 14
-#: A pass that leaves more than this share of the groups makes the next one the last, which compares all.
-ENOUGH = 0.9
+#: 64-bit words of a wide fingerprint.
+WIDE = 4
+#: A table's sampled bits, at least; with more rows there are more, so that scattered rows make buckets of this size.
+TABLE_BITS, TABLE_ROWS = 14, 1024
+#: The chance that no table brings two documents of the wanted similarity together.
+MISSED = 0.01
+#: Rows of a bucket whose shingles one task holds; more are dealt in pairs of tiles.
+TILE = 1024
+_FIELDS = [f"f{k}" for k in range(WIDE)]
 
 
 def wide_fingerprint(hashes: np.ndarray) -> list[int]:
@@ -299,84 +337,96 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def table_keys(fps: np.ndarray) -> np.ndarray:
-    """Per fingerprint and table, the sampled bits as a number; which bits is fixed by a seed."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-    chosen = np.random.default_rng(SEED)
-    powers = 1 << np.arange(TABLE_BITS)
-    return np.stack([bits[:, chosen.choice(bits.shape[1], TABLE_BITS, replace=False)] @ powers for _ in range(TABLES)], axis=1)
-
-
 def bits_apart(jaccard: float) -> float:
     """The expected share of differing bits of two equally large sets: their cosine is 2j / (1 + j)."""
     return float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
 
 
+def table_masks(n: int, jaccard: float) -> list[tuple[int, ...]]:
+    """The sampled bits of each table, as a mask per word of a fingerprint.
+
+    The more of n rows, the more bits a table samples, and as many tables as MISSED needs;
+    which bits is fixed by a seed.
+    """
+    bits = max(TABLE_BITS, int(np.ceil(np.log2(max(1, n) / TABLE_ROWS))))
+    tables = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - bits_apart(jaccard)) ** bits))))
+    chosen = np.random.default_rng(SEED)
+    out = []
+    for _ in range(tables):
+        at = chosen.choice(64 * WIDE, bits, replace=False)
+        out.append(tuple(_signed(sum(1 << int(b % 64) for b in at if b // 64 == k)) for k in range(WIDE)))
+    return out
+
+
+def _in_tables(prints: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """A row per fingerprint and table; its key is a hash of the table's number and bits."""
+    tables = F.array(*[F.struct(F.lit(t).alias("table"), *[F.lit(m).cast("long").alias(f"m{k}") for k, m in enumerate(mask)]) for t, mask in enumerate(masks)])
+    key = F.xxhash64("table", *[F.col(f"f{k}").bitwiseAND(F.col(f"m{k}")) for k in range(WIDE)])
+    return prints.select("*", F.inline(tables)).select(key.alias("key"), *prints.columns)
+
+
+def _words_of(rows: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(rows[_FIELDS].to_numpy(dtype=np.int64)).view(np.uint64)
+
+
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, jaccard: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each group of near duplicates.
 
     Near duplicates share at least ``jaccard`` of the distinct ``words``-word shingles that they
     have together (cut as in near_duplicates), and groups are what links reach; the smallest id
-    stays, an id before none, and of rows that repeat it one. Rows without words all stay.
-
-    Candidates come from wide fingerprints in tables of sampled bits; within a bucket the
-    bit-sliced comparison links those whose distance speaks for the similarity, with some
-    room, and every link is verified on the shingles themselves. Links in a bucket form a
-    forest, so a large group of copies gives a link per member and table. Links that fail
-    connect nothing: further passes start from what verified links connect, each in another
-    order, while they connect enough; a last one verifies every pair within the distance that
-    is still not connected, so nothing the tables bring together is left out. All rows stay
-    partners until then, and groups are taken once over all verified links.
+    stays, an id before none, and of rows that repeat it one. Rows without words all stay. Null
+    ids, repeated rows and other columns of any name are kept as they are; an empty table
+    gives no rows.
+
+    Candidates come from wide fingerprints in tables of sampled bits; the bit-sliced comparison
+    finds those whose distance speaks for the similarity, with some room. Two passes verify them
+    on the shingles themselves. In the first, a bucket gives a forest, and each row is verified
+    against its nearest partner before it, so there is at most one pair a row. In the second,
+    rows that still have a candidate which verified links do not connect them to bring their
+    shingles along to the bucket, and every such pair there is verified on the spot, the links
+    found connecting rows as it goes on. So no pair within the distance is left out, and what
+    is written is links of a forest, never the pairs of a group. Groups are taken once, over
+    all verified links.
     """
+    row = fresh_name(docs, "_row")
     radius = round(64 * WIDE * bits_apart(jaccard - 0.15))
-    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias("_row")), "similar-rows")
-    texts = rows.select("_row", text_or_empty(text_col).alias("_text"))
-    prints = materialize(texts.mapInPandas(_wide(words), f"row long, {_FIELDS}"), "similar-prints")
-    ids = rows.select("_row", F.col(id_col).alias("_id"))
-    active = prints.withColumn("joined", F.col("row"))
-    sets = done = verified = None
-    groups, turn, last = 0, 0, False
-    while True:
-        pairs = _candidates(active, radius, turn, every=last)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "similar-pairs")
-        if sets is None:
-            # The first pass gives every row that has a neighbour within the radius a link.
-            ends = materialize(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "similar-ends")
-            groups = n_ends = ends.count()
-            if n_ends == 0:
-                return rows.drop("_row")
-            small = broadcast_if_small(ends, n_ends, 2_000_000)
-            sets = materialize(texts.join(small, texts["_row"] == small["row"], "left_semi").mapInPandas(_shingle_sets(words), "row long, s array<long>"), "similar-sets")
-        both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        links = materialize(both.where(common >= jaccard * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar-links")
-        done = pairs if done is None else done.unionByName(pairs)
-        verified = links if verified is None else verified.unionByName(links)
-        roots = materialize(components(verified), "similar-roots")
-        if last:
-            break
-        now = n_ends - roots.where("node <> root").count()
-        last, groups, turn = now > ENOUGH * groups, now, turn + 1
-        active = prints.join(ends, "row", "left_semi").join(roots, F.col("row") == F.col("node"), "left").select(*prints.columns, F.coalesce("root", "row").alias("joined"))
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
-    members = ids.join(roots, F.col("_row") == F.col("node")).select("root", "_row", order.alias("o"))
+    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias(row)), "similar-rows")
+    texts = rows.select(F.col(row).alias("row"), text_or_empty(text_col).alias("_text"))
+    prints = materialize(texts.mapInPandas(_wide(words), f"row long, {', '.join(f'{f} long' for f in _FIELDS)}"), "similar-prints")
+    masks = table_masks(prints.count(), jaccard)
+    ends = materialize(_nearest(_in_tables(prints, masks), radius), "similar-ends")
+    n_ends = ends.count()
+    if n_ends == 0:
+        return rows.drop(row)
+    sets = materialize(texts.join(broadcast_if_small(ends.select("row"), n_ends, 2_000_000), "row", "left_semi").mapInPandas(_shingle_sets(words), "row long, s array<long>"), "similar-sets")
+    both = (
+        ends.where("parent is not null").join(sets.select("row", F.col("s").alias("sb")), "row")
+        .join(sets.select(F.col("row").alias("parent"), F.col("s").alias("sa")), "parent")
+    )
+    common = F.size(F.array_intersect("sa", "sb"))
+    near = both.where(common >= jaccard * (F.size("sa") + F.size("sb") - common)).select(F.col("parent").alias("a"), F.col("row").alias("b"))
+    links = materialize(near, "similar-links")
+    roots = materialize(components(links), "similar-roots")
+    active = prints.join(broadcast_if_small(ends.select("row"), n_ends, 2_000_000), "row", "left_semi").join(roots, F.col("row") == F.col("node"), "left")
+    active = materialize(active.select(*prints.columns, F.coalesce("root", "row").alias("joined")), "similar-active")
+    left_open = materialize(_open_members(_in_tables(active, masks), radius), "similar-open")
+    if not left_open.isEmpty():
+        more = materialize(_verified(left_open.join(sets, "row"), radius, jaccard), "similar-more")
+        roots = materialize(components(links.unionByName(more)), "similar-roots")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("row"))
+    members = rows.select(F.col(row).alias("row"), F.col(id_col).alias("_id")).join(roots, F.col("row") == F.col("node")).select("root", "row", order.alias("o"))
     members = materialize(members, "similar-members")
-    stays = members.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias("_row"))
-    gone = materialize(members.select("_row").join(stays, "_row", "left_anti"), "similar-gone")
-    return rows.join(broadcast_if_small(gone, gone.count(), 2_000_000), "_row", "left_anti").drop("_row")
-
-
-_FIELDS = ", ".join(f"f{k} long" for k in range(WIDE))
+    stays = members.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    gone = materialize(members.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", row), "similar-gone")
+    return rows.join(broadcast_if_small(gone, gone.count(), 2_000_000), row, "left_anti").drop(row)
 
 
 def _wide(words: int) -> Callable:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [(r, wide_fingerprint(h)) for r, t in zip(batch["_row"], batch["_text"], strict=True) if len(h := np.unique(shingle_hashes(t, words)))]
+            made = [(r, wide_fingerprint(h)) for r, t in zip(batch["row"], batch["_text"], strict=True) if len(h := np.unique(shingle_hashes(t, words)))]
             fps = np.array([f for _, f in made], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pd.DataFrame({"row": np.array([r for r, _ in made], dtype=np.int64)} | {f"f{k}": fps[:, k] for k in range(WIDE)})
+            yield pd.DataFrame({"row": np.array([r for r, _ in made], dtype=np.int64)} | {f: fps[:, k] for k, f in enumerate(_FIELDS)})
 
     return make
 
@@ -384,39 +434,96 @@ def _wide(words: int) -> Callable:
 def _shingle_sets(words: int) -> Callable:
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"row": batch["_row"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["_text"]]})
+            yield pd.DataFrame({"row": batch["row"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["_text"]]})
 
     return shingle
 
 
-def _candidates(prints: DataFrame, radius: int, turn: int, every: bool) -> DataFrame:
-    """(a, b), a before b: pairs of a bucket whose fingerprints are within the radius and whose ``joined`` differs.
-
-    ``every`` gives all of them, else a forest of each bucket.
-    """
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            fps = batch[[f"f{k}" for k in range(WIDE)]].to_numpy(dtype=np.int64)
-            out = pd.DataFrame({
-                "choice": np.tile(np.arange(TABLES, dtype=np.int32), len(batch)), "key": table_keys(np.ascontiguousarray(fps).view(np.uint64)).reshape(-1).astype(np.int32),
-                "row": np.repeat(batch["row"].to_numpy(), TABLES), "joined": np.repeat(batch["joined"].to_numpy(), TABLES),
-            })
-            for k in range(WIDE):
-                out[f"f{k}"] = np.repeat(fps[:, k], TABLES)
-            yield out
-
-    def link(batch: pd.DataFrame) -> pd.DataFrame:
-        bucket = _bucket_numbers(batch["choice"].to_numpy(), batch["key"].to_numpy())
-        batch = batch[np.bincount(bucket)[bucket] > 1]
-        bucket = _bucket_numbers(batch["choice"].to_numpy(), batch["key"].to_numpy())
-        fps = np.ascontiguousarray(batch[[f"f{k}" for k in range(WIDE)]].to_numpy(dtype=np.int64)).view(np.uint64)
-        i, j = (open_pairs if every else bucket_links)(fps, bucket, radius, batch["joined"].to_numpy())
-        row = batch["row"].to_numpy()
-        return pd.DataFrame({"a": np.minimum(row[i], row[j]), "b": np.maximum(row[i], row[j])})
-
-    dealt = prints.mapInPandas(deal, f"choice int, key int, row long, joined long, {_FIELDS}").withColumn("rank", F.xxhash64("row", "choice", F.lit(turn)))
-    sorted_rows = dealt.repartition("choice", "key").sortWithinPartitions("choice", "key", "rank", "row")
-    return sorted_rows.mapInPandas(_whole_buckets(link), "a long, b long").distinct()
+def _nearest(keyed: DataFrame, radius: int) -> DataFrame:
+    """(row, parent): every row with another within the radius, and of the links of its buckets' forests the nearest row before it, or null."""
+
+    def link(rows: pd.DataFrame, bucket: np.ndarray) -> pd.DataFrame:
+        fps, row = _words_of(rows), rows["row"].to_numpy()
+        i, j = bucket_links(fps, bucket, radius)
+        apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
+        low, high = np.minimum(row[i], row[j]), np.maximum(row[i], row[j])
+        return pd.DataFrame({"row": np.r_[high, low], "apart": np.r_[apart, apart], "parent": pd.array(np.r_[low, np.full(len(low), -1)], dtype="Int64")})
+
+    found = _dealt(keyed).mapInPandas(_whole_buckets(link), "row long, apart int, parent long")
+    best = F.min(F.when(F.col("parent") >= 0, F.struct("apart", "parent")))
+    return found.groupBy("row").agg(best.alias("b")).select("row", F.col("b.parent").alias("parent"))
+
+
+def _open_members(keyed: DataFrame, radius: int) -> DataFrame:
+    """Rows of buckets in which they have a candidate that is not ``joined`` with them; tiles hold about TILE rows."""
+
+    def find(rows: pd.DataFrame, bucket: np.ndarray) -> pd.DataFrame:
+        rows = rows[open_rows(_words_of(rows), bucket, radius, rows["joined"].to_numpy())]
+        bucket = _bucket_numbers(rows)
+        size = np.bincount(bucket)[bucket]
+        tiles = -(-size // TILE)
+        first = np.searchsorted(bucket, bucket)
+        own = (np.arange(len(rows)) - first) % np.maximum(tiles, 1)
+        at = np.repeat(np.arange(len(rows)), tiles)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+        pair = np.minimum(own[at], other) * tiles[at] + np.maximum(own[at], other)
+        out = rows.iloc[at]
+        # A bucket has at most two of _dealt's tiles, so few of these.
+        return out.assign(tile=out["tile"] * (1 << 20) + pair)
+
+    kinds = f"key long, tile long, row long, joined long, {', '.join(f'{f} long' for f in _FIELDS)}"
+    columns = ["key", "tile", "row", "joined", *_FIELDS]
+    return _dealt(keyed).mapInPandas(_whole_buckets(lambda rows, bucket: find(rows, bucket)[columns]), kinds)
+
+
+#: Bytes of the bit sets of one bucket; beyond, pairs are compared one by one.
+_SET_BYTES = 1 << 25
+
+
+def _overlaps(sets: list[np.ndarray], jaccard: float, one_bucket: bool) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs (i, j) of the sorted sets share ``jaccard`` of their union."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    bits = None
+    if one_bucket:
+        line = np.repeat(np.arange(len(sets)), sizes)
+        _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times > 1  # others are in one set alone
+        column = np.cumsum(shared) - 1
+        width = -(-int(shared.sum()) // 64)
+        if width * 8 * len(sets) <= _SET_BYTES:
+            here = shared[number]
+            at = column[number[here]]
+            bits = np.zeros((len(sets), width), dtype=np.uint64)
+            np.bitwise_or.at(bits, (line[here], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+
+    def accept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if bits is not None:
+            common = np.concatenate([np.bitwise_count(bits[i[a : a + 4096]] & bits[j[a : a + 4096]]).sum(axis=1, dtype=np.int64) for a in range(0, len(i), 4096)])
+        else:
+            like = np.minimum(sizes[i], sizes[j]) >= jaccard * np.maximum(sizes[i], sizes[j])
+            common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) if x else 0 for a, b, x in zip(i.tolist(), j.tolist(), like.tolist(), strict=True)], dtype=np.int64)
+        return (common > 0) & (common >= jaccard * (sizes[i] + sizes[j] - common))
+
+    return accept
+
+
+def _verified(members: DataFrame, radius: int, jaccard: float) -> DataFrame:
+    """(a, b): verified links that connect what the pairs of each bucket within the radius connect."""
+
+    def link(rows: pd.DataFrame, bucket: np.ndarray) -> pd.DataFrame:
+        fps, row, joined, sets = _words_of(rows), rows["row"].to_numpy(), rows["joined"].to_numpy(), list(rows["s"])
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+        sizes = np.diff(np.r_[starts, len(bucket)])
+        # Short buckets are compared together, each longer one by itself.
+        parts = [np.flatnonzero(np.repeat(sizes <= 32, sizes)), *(np.arange(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True) if n > 32)]
+        left, right = [row[:0]], [row[:0]]
+        for k, at in enumerate(parts):
+            accept = _overlaps([sets[x] for x in at.tolist()], jaccard, one_bucket=k > 0)
+            i, j = bucket_links(fps[at], bucket[at], radius, joined[at], accept)
+            left.append(row[at[i]])
+            right.append(row[at[j]])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    dealt = members.repartition("key", "tile").sortWithinPartitions("key", "tile")
+    return dealt.mapInPandas(_whole_buckets(link, most=4096), "a long, b long").distinct()

@@ -192,26 +192,107 @@ def test_similar_star(spark):
     assert near.sum() < 3 * len(ids) + 100  # the copies are near the hub, hardly any near another
     texts = dict(docs)
     fps = np.array([simhash.wide_fingerprint(np.unique(simhash.shingle_hashes(texts[i], 5))) for i in ids], dtype=np.uint64)
-    keys = simhash.table_keys(fps)
-    met = np.array([(np.bitwise_count(fps ^ f).sum(axis=1) <= 54) & (keys == k).any(axis=1) for f, k in zip(fps, keys, strict=True)])
+    masks = np.array(simhash.table_masks(len(fps), 0.8), dtype=np.int64).view(np.uint64)
+    met = np.array([(np.bitwise_count(fps ^ f).sum(axis=1) <= 54) & (((fps ^ f)[:, None, :] & masks) == 0).all(axis=2).any(axis=1) for f in fps])
     roots = brute_components(range(len(ids)), lambda a, b: near[a, b] and met[a, b])
     left = {r.doc_id for r in simhash.drop_similar(frame(spark, docs)).collect()}
     assert left == {ids[r] for r in set(roots)}
     assert len(left) <= 2 + 0.02 * len(docs)  # what no table brings together
 
 
-def test_open_pairs():
+def similar_left(docs, jaccard=0.8):
+    """The ids that stay, by comparing all pairs."""
+    sets = {i: set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w := (t or "").lower().split()) >= 5 else {tuple(w)} - {()} for i, t in docs}
+    known = {x: k for k, x in enumerate({x for own in sets.values() for x in own})}
+    ids = sorted(sets)
+    columns = [np.array(sorted(known[x] for x in sets[i]), dtype=np.int64) for i in ids]
+    holders = {}
+    for k, own in enumerate(columns):
+        for x in own.tolist():
+            holders.setdefault(x, []).append(k)
+    common = {}
+    for who in holders.values():
+        for b, a in itertools.combinations(who, 2):
+            common[a, b] = common.get((a, b), 0) + 1
+    near = {(a, b) for (a, b), n in common.items() if n >= jaccard * (len(columns[a]) + len(columns[b]) - n)}
+    roots = brute_components(range(len(ids)), lambda a, b: (a, b) in near)
+    return {ids[r] for r in set(roots)}, near
+
+
+def test_similar_documents_of_the_test_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = list({t: (i, t) for i, t in sorted(((r.doc_id, r.text) for r in rows.collect()), reverse=True)}.values())
+    want, near = similar_left(docs)
+    got = [r.doc_id for r in simhash.drop_similar(rows.join(spark.createDataFrame([(i,) for i, _ in docs], "doc_id long"), "doc_id")).collect()]
+    assert len(near) >= 5 and sorted(got) == sorted(want)
+
+
+def test_recall_of_similar_pairs(spark):
+    """Of pairs at similarities from 0.8 on, at least 0.97 are found."""
+    rng, docs = random.Random(41), []
+    for k in range(200):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(300)]
+        docs.append((2 * k, " ".join(words)))
+        for p in rng.sample(range(0, 300, 5), rng.randint(1, 7)):
+            words[p] = "changed"
+        docs.append((2 * k + 1, " ".join(words)))
+    want, near = similar_left(docs)
+    got = {r.doc_id for r in simhash.drop_similar(frame(spark, docs)).collect()}
+    assert len(near) > 150 and want <= got and len(got - want) <= 0.03 * len(near)
+
+
+def test_similar_by_the_third(spark):
+    """B is near neither A nor C by itself; A and C are, and a copy of both ends joins them."""
+    words = [f"w{k}" for k in range(400)]
+    text = lambda gone: " ".join(f"x{gone}{k}" if k in gone else w for k, w in enumerate(words))
+    a, b, c = text(set()), text(set(range(30, 360, 20))), text({5, 200})
+    docs = [(1, a), (2, b), (3, c)]
+    want, near = similar_left(docs)
+    assert want == {1, 2} and len(near) == 1
+    assert {r.doc_id for r in simhash.drop_similar(frame(spark, docs)).collect()} == want
+
+
+def test_large_buckets_are_dealt_in_tiles(spark, monkeypatch):
+    docs = [(i, t) for i, t in corpus(31, 120, 300) if t]
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    docs += [(2000 + k, " ".join("x%d" % rng.randrange(10**6) if rng.random() < 0.02 else w for w in base)) for k in range(60)]
+    exact = lambda: {(r.doc_id, r.component_id) for r in simhash.near_duplicates(frame(spark, docs), words=4).collect()}
+    near = lambda: sorted(r.doc_id for r in simhash.drop_similar(frame(spark, docs)).collect())
+    whole = exact(), near()
+    monkeypatch.setattr(simhash, "BUCKET", 6)
+    monkeypatch.setattr(simhash, "TILE", 3)
+    assert (exact(), near()) == whole
+
+
+def test_open_rows():
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 4, (90, 4), dtype=np.uint64)
     bucket, joined = np.sort(rng.integers(0, 3, 90)), rng.integers(0, 20, 90)
-    i, j = simhash.open_pairs(fps, bucket, 3, joined)
-    want = {(a, b) for b in range(90) for a in range(b) if bucket[a] == bucket[b] and joined[a] != joined[b] and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 3}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
-    i, j = simhash.bucket_links(fps, bucket, 3, joined)
-    links = set(zip(i.tolist(), j.tolist(), strict=True))
+    apart = lambda a, b: np.bitwise_count(fps[a] ^ fps[b]).sum()
+    for radius in (0, 3):
+        marked = simhash.open_rows(fps, bucket, radius, joined)
+        want = [any(bucket[a] == bucket[b] and joined[a] != joined[b] and apart(a, b) <= radius for b in range(90)) for a in range(90)]
+        assert marked.tolist() == want
     alike = lambda a, b: bucket[a] == bucket[b] and joined[a] == joined[b]
-    want = brute_components(range(90), lambda a, b: alike(a, b) or bucket[a] == bucket[b] and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 3)
-    assert brute_components(range(90), lambda a, b: alike(a, b) or (b, a) in links or (a, b) in links) == want
+    for taken in (lambda i, j: np.ones(len(i), dtype=bool), lambda i, j: (i + j) % 3 > 0):
+        i, j = simhash.bucket_links(fps, bucket, 3, joined, taken)
+        links = set(zip(i.tolist(), j.tolist(), strict=True))
+        ok = lambda a, b: bool(taken(np.array([b]), np.array([a]))[0])  # noqa: B023, E731
+        want = brute_components(range(90), lambda a, b: alike(a, b) or bucket[a] == bucket[b] and apart(a, b) <= 3 and ok(a, b))
+        assert brute_components(range(90), lambda a, b: alike(a, b) or (b, a) in links or (a, b) in links) == want
+
+
+def test_overlaps_of_shingle_sets(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60))).astype(np.int64) for _ in range(50)]
+    i, j = np.triu_indices(50, 1)
+    want = [len(set(sets[a]) & set(sets[b])) >= 0.3 * len(set(sets[a]) | set(sets[b])) for a, b in zip(i, j, strict=True)]
+    assert any(want) and not all(want)
+    for one_bucket in (True, False):
+        assert simhash._overlaps(sets, 0.3, one_bucket)(i, j).tolist() == want
+    monkeypatch.setattr(simhash, "_SET_BYTES", 0)
+    assert simhash._overlaps(sets, 0.3, True)(i, j).tolist() == want
 
 
 def test_components(spark):
