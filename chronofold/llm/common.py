@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Groups that with_groups broadcasts all, at most.
+FEW_GROUPS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,7 +70,7 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     them can make uneven. Both tables are read twice, so they should be stored ones.
     """
     n, total = groups.agg(F.count(F.lit(1)), F.sum(size)).first()
-    if n <= 500_000:
+    if n <= FEW_GROUPS:
         return rows.join(F.broadcast(groups), key, "left")
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(groups.where(F.col(size) * parts > total))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import broadcast_if_small, materialize, text_or_empty
+from chronofold.llm.common import broadcast_if_small, fresh_name, materialize, text_or_empty, with_groups
 
 
 def content_hash(text: Column) -> Column:
@@ -28,12 +28,12 @@ def _keeper(rows: DataFrame, keys: list[str], largest: bool) -> DataFrame:
     return rows.groupBy(*keys).agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size"))
 
 
-def _assign(rows: DataFrame, keys: list[str], largest: bool) -> DataFrame:
-    groups = _keeper(rows, keys, largest).where("group_size > 1")
-    joined = rows.join(groups, keys, "left")
+def _assign(rows: DataFrame, key: str, largest: bool) -> DataFrame:
+    groups = materialize(_keeper(rows, [key], largest).where("group_size > 1"), "exact-groups")
+    joined = with_groups(rows, groups, key, "group_size")
     kept_row = F.abs(F.col("_best.row"))
     return joined.select(
-        F.col("_id"),
+        F.col("_row"), F.col("_id"),
         F.when(F.col("_best").isNull(), F.col("_id")).otherwise(F.col("_best.id")).alias("keep_id"),
         F.coalesce(F.col("group_size"), F.lit(1).cast("long")).alias("group_size"),
         (F.col("_best").isNull() | (F.col("_row") == kept_row)).alias("kept"),
@@ -59,33 +59,28 @@ def exact_duplicates(
     than one row are grouped by hash *and* bytes, with partial aggregation, which shows any
     hash that stands for two texts; the rows of such a hash are grouped by their bytes.
     """
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    return _verdicts(texts, keep, hash_of).drop("_row").withColumnRenamed("_id", id_col)
+
+
+def _verdicts(texts: DataFrame, keep: str, hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
+    """The verdict on each row (_id, _text, _row), with its _row."""
     largest = keep == "largest"
-    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     hashed = texts.withColumn("_hash", hash_of(F.col("_text")))
-    rows = materialize(
-        hashed.select("_id", "_hash", F.sha2("_text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row")),
-        "exact-rows",
-    )
+    rows = materialize(hashed.select("_id", "_hash", F.sha2("_text", 256).alias("text_sha256"), "_row"), "exact-rows")
     repeated = materialize(rows.groupBy("_hash").count().where("count > 1").select("_hash"), "exact-hashes")
     members = hashed.join(broadcast_if_small(repeated, repeated.count()), "_hash", "left_semi")
     collided = (
         members.groupBy("_hash", "_text").agg(F.lit(1).alias("one"))
         .groupBy("_hash").agg(F.count(F.lit(1)).alias("texts"))
         .where("texts > 1").select("_hash")
-    )
+    )
     collided = materialize(collided, "exact-collisions")
     if collided.isEmpty():
-        out = _assign(rows, ["_hash"], largest)
-    else:
-        clean = _assign(rows.join(collided, "_hash", "left_anti"), ["_hash"], largest)
-        mixed = materialize(
-            hashed.join(collided, "_hash", "left_semi").select(
-                "_id", "_text", F.sha2("_text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row")
-            ),
-            "exact-mixed",
-        )
-        out = clean.unionByName(_assign(mixed, ["_text"], largest))
-    return out.withColumnRenamed("_id", id_col)
+        return _assign(rows, "_hash", largest)
+    clean = materialize(rows.join(collided, "_hash", "left_anti"), "exact-clean")
+    mixed = hashed.join(collided, "_hash", "left_semi").select("_id", "_text", F.sha2("_text", 256).alias("text_sha256"), "_row")
+    return _assign(clean, "_hash", largest).unionByName(_assign(materialize(mixed, "exact-mixed"), "_text", largest))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -93,26 +88,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Repeated rows (the same id and text) are dropped to one as well.
     """
-    verdict = exact_duplicates(docs, id_col, text_col, keep)
-    gone = verdict.where(~F.col("kept")).select(
-        F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")
-    )
-    kept_twin = verdict.where(F.col("kept") & (F.col("group_size") > 1)).select(
-        F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")
-    )
-    # A repeated row shares id and text with the one that stays; it must not take that one along.
-    repeats = gone.join(
-        kept_twin,
-        gone["_gone_id"].eqNullSafe(kept_twin["_gone_id"]) & (gone["_gone_sha"] == kept_twin["_gone_sha"]),
-        "left_semi",
-    ).distinct()
-    others = gone.join(
-        repeats,
-        gone["_gone_id"].eqNullSafe(repeats["_gone_id"]) & (gone["_gone_sha"] == repeats["_gone_sha"]),
-        "left_anti",
-    ).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(text_or_empty(text_col), 256))
-    on = keyed[id_col].eqNullSafe(F.col("_gone_id")) & (keyed["_sha"] == F.col("_gone_sha"))
-    stay = keyed.join(others, on, "left_anti")
-    again = stay.join(repeats, on, "left_semi").dropDuplicates([id_col, "_sha"])
-    return stay.join(repeats, on, "left_anti").unionByName(again).drop("_sha")
+    row = fresh_name(docs, "_row")
+    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias(row)), "exact-docs")
+    texts = rows.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), F.col(row).alias("_row"))
+    gone = materialize(_verdicts(texts, keep).where(~F.col("kept")).select(F.col("_row").alias(row)), "exact-gone")
+    return rows.join(broadcast_if_small(gone, gone.count(), 2_000_000), row, "left_anti").drop(row)

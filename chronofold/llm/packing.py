@@ -214,7 +214,8 @@ def pack(
         bins, offsets = pack_lengths(rows["length"].to_numpy(), capacity)
         return rows.assign(bin=bins, offset=offsets)
 
-    dealt = short.withColumn("pack_group", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    # The row's number deals repeated rows to all groups alike.
+    dealt = short.withColumn("pack_group", F.pmod(F.xxhash64("_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     packed = dealt.groupBy("pack_group").applyInPandas(place, f"{PIECES}, pack_group long, bin long, offset long")
     packed = packed.withColumn("sequence_id", (F.col("bin") * groups + F.col("pack_group")) * 2).drop("bin", "pack_group")
     full = cut.where(F.col("length") == capacity).select(

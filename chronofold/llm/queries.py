@@ -25,7 +25,7 @@ def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).drop("offending")
+    return toxicity.score_documents(docs, model)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

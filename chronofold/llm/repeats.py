@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import materialize
+from chronofold.llm.common import materialize, with_groups
 
 # Kinds of rows; within a bucket they arrive in this order.
 HASHES, ANCHORS, SPANS, CONTEXTS, TEXTS = 0, 1, 2, 3, 4
@@ -33,6 +33,8 @@ BLOCK = "bucket int, kind int, payload binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: Anchors, contexts and text bytes that a task combines before it sends them on.
 MOST_ANCHORS, MOST_CONTEXTS, MOST_BYTES = 1_500_000, 250_000, 16_000_000
+#: Buckets of contexts for each partition: a task compares one at a time, so it holds a small part of its share.
+CONTEXT_BUCKETS = 16
 #: Bits of an anchor's hash that travel; anchors that share a hash by chance are told apart by their contexts.
 HASH_BITS = np.uint64((1 << 48) - 1)
 #: Text bytes whose anchors are found at once.
@@ -293,8 +295,7 @@ def _cut_contexts(units: Units, buckets: int, collapse: bool = True) -> Callable
             ids, tags, pos = (np.array([r[k] for r in keep], dtype=np.int64) for k in (0, 1, 3))
             h = np.array([r[2] for r in keep], dtype=np.uint64)
             before, after = (np.array([r[k] for r in keep], dtype=np.uint8) for k in (4, 5))
-            bucket = _bucket(h, buckets)
-            for b, at in _by_bucket(bucket):
+            for b, at in _by_bucket(_bucket(h, buckets * CONTEXT_BUCKETS)):
                 lines = [keep[i][6] for i in at]
                 text = np.frombuffer(b"".join(lines), dtype=np.uint8)
                 out.append((b, CONTEXTS, freeze(ids[at], tags[at], h[at], pos[at].astype(np.int32), before[at], after[at], np.array([len(x) for x in lines], dtype=np.int32), text)))
@@ -623,8 +624,9 @@ def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs, id_col, text_col)
     digests = materialize(keyed.select("_id", "_tag", F.unhex(F.md5("_text")).alias("_md5")), "repeat-digests")
-    firsts = digests.groupBy("_md5").agg(F.min("_id").alias("_first"))
-    copies = materialize(digests.join(firsts, "_md5").where("_id > _first").select("_id", "_tag").distinct(), "repeat-copies")
+    firsts = digests.groupBy("_md5").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    copies = with_groups(digests, materialize(firsts, "repeat-firsts"), "_md5", "_n").where("_id > _first").select("_id", "_tag").distinct()
+    copies = materialize(copies, "repeat-copies")
     n_copies = copies.count()
     small = F.broadcast(copies) if n_copies <= 2_000_000 else copies
     return keyed, keyed.join(small, ["_id", "_tag"], "left_anti") if n_copies else keyed, copies, buckets

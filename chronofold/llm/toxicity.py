@@ -36,7 +36,10 @@ def word_features(word: str) -> list[str]:
 
 
 def _tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    """Words and marks where they stand in the text; each is lowered by itself, so that places do not move."""
+    if text.isascii():
+        return TOKEN.findall(text.lower())
+    return [x.lower() for x in TOKEN.findall(text)]
 
 
 def sentence_numbers(is_word: np.ndarray) -> np.ndarray:
@@ -96,7 +99,7 @@ class Scorer(dict):
 
     def spans(self, text: str, p: np.ndarray, least: float) -> list[dict]:
         """Character spans of the sentences with a probability of at least ``least``."""
-        found = [(m.start(), m.end(), m[0][0] not in ".!?\n") for m in TOKEN.finditer(text.lower())]
+        found = [(m.start(), m.end(), m[0][0] not in ".!?\n") for m in TOKEN.finditer(text)]
         words = [x for x in found if x[2]]
         number = sentence_numbers(np.array([x[2] for x in found], dtype=bool))
         out = []
@@ -185,7 +188,7 @@ def training_texts(
     drawn = [marked.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most_per_class) for y in (0, 1)]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most twice most_per_class narrow rows
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    rows = sorted(texts.join(ids, "_id").select("_id", "_text", "_y").dropDuplicates(["_id"]).collect())
+    rows = sorted(texts.join(ids, "_id").groupBy("_id", "_y").agg(F.max("_text").alias("_text")).collect())
     return [r["_text"] for r in rows], [int(r["_y"]) for r in rows]
 
 
@@ -195,7 +198,8 @@ def train(
 ) -> ToxicityModel:
     """Fits on at most ``most_per_class`` labelled documents of each class, whole texts, outside the held-out fifth.
 
-    The sample's size is the bound on what reaches the driver. Null labels and ids are left out.
+    The sample's size is the bound on what reaches the driver. Null labels and ids are left out;
+    of rows that repeat an id the text that sorts last counts.
     """
     return fit(*training_texts(docs, labels, id_col, text_col, label_col, most_per_class))
 

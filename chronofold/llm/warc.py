@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.llm.common import broadcast_if_small, materialize, with_groups
+
 CUT = "\r\n\r\nWARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored whole.
@@ -40,29 +42,41 @@ def write_archive(
 
     The payload is the column's text in UTF-8 (null: empty). Of rows with equal payloads of
     at least 1000 bytes the one with the largest id is a response and the others are revisits
-    that refer to it; smaller payloads are all responses. Ids may be null or repeat; rows equal
-    in id, url and payload are one capture, written with the same record ids. Control
+    that refer to it; smaller payloads are all responses. Ids may be null or repeat, and every
+    row is a capture of its own. Control
     characters in a url are written as spaces; a null url becomes ``urn:none``. An empty table
     writes an archive without records.
 
-    Payload digests are SHA-1. Which row is the response is decided on the digests, with
-    partial aggregation, and joined back, so payloads are not shuffled together by group.
+    Payload digests are SHA-1. Which row is the response is decided on narrow rows that are
+    equal in SHA-256 over all bytes, with partial aggregation, so payloads are not shuffled
+    by group; a group with very many rows is joined back by a broadcast of its own (with_groups).
+    Rows that repeat id, url and payload are numbered, and their ids with them.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     url = F.coalesce(F.regexp_replace(F.col(url_col).cast("string"), r"[\x00-\x1f\x7f]", " "), F.lit("urn:none"))
     page = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = pages.select(
+    plain = pages.select(
         F.col(id_col).cast("long").alias("id"), page.alias("page"), url.alias("url"), payload.alias("payload")
     ).withColumns({"sha1": F.sha1("payload"), "n": F.octet_length("payload")})
-    rows = rows.withColumn("response_id", _urn(F.lit("response"), "page", "url", "sha1"))
-    first = (
-        rows.where(F.col("n") >= LEAST_REVISIT_BYTES).groupBy("sha1", "n")
-        .agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "response_id")).alias("best"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1").select("sha1", "n", F.col("best.response_id").alias("refers_to"))
-    )
-    rows = rows.join(first, ["sha1", "n"], "left").withColumn(
-        "is_revisit", F.col("refers_to").isNotNull() & (F.col("refers_to") != F.col("response_id"))
-    )
+    large = F.col("n") >= LEAST_REVISIT_BYTES
+    content = F.when(large, F.sha2("payload", 256))
+    digests = materialize(plain.select("id", "page", "url", "sha1", content.alias("content")), "warc-digests")
+    again = materialize(digests.groupBy("page", "url", "sha1").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "warc-repeats")
+    n_again = again.count()
+    rows = plain.withColumn("copy", F.lit(0).cast("long"))
+    if n_again:
+        few = broadcast_if_small(again, n_again)
+        keys = ["page", "url", "sha1"]
+        one = plain.join(few, keys, "left_semi").groupBy(*keys).agg(F.first("id").alias("id"), F.first("payload").alias("payload"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
+        every = one.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+        rows = rows.join(few, keys, "left_anti").unionByName(every.select(*rows.columns))
+    rows = rows.withColumn("response_id", _urn(F.lit("response"), "page", "url", "sha1", F.col("copy").cast("string")))
+    # The largest id's first copy answers for the group.
+    best = F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", _urn(F.lit("response"), "page", "url", "sha1", F.lit("0")).alias("response_id")))
+    first = digests.where("content is not null").groupBy("content").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = materialize(first.select("content", "copies", F.col("best.response_id").alias("refers_to")), "warc-groups")
+    rows = with_groups(rows.withColumn("content", content), first, "content", "copies")
+    rows = rows.withColumn("is_revisit", F.col("refers_to").isNotNull() & (F.col("refers_to") != F.col("response_id")))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("n").cast("string"), F.lit("\r\n\r\n"),
@@ -79,12 +93,12 @@ def write_archive(
     host = F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)
     target = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^#]*)", 1)
     request = _record(
-        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _urn(F.lit("request"), "page", "url", "sha1")), *linked],
+        [("WARC-Type", F.lit("request")), ("WARC-Record-ID", _urn(F.lit("request"), "page", "url", "sha1", F.col("copy").cast("string"))), *linked],
         "application/http;msgtype=request",
         F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")),
     )
     metadata = _record(
-        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn(F.lit("metadata"), "page", "url", "sha1")), *linked],
+        [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn(F.lit("metadata"), "page", "url", "sha1", F.col("copy").cast("string"))), *linked],
         "application/warc-fields", F.concat(F.lit("page-id: "), "page", F.lit("\r\n")),
     )
     main = F.when(F.col("is_revisit"), revisit).otherwise(response)
@@ -224,12 +238,10 @@ def payload_table(assembled: DataFrame) -> DataFrame:
         "capture_id", page.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.uri").alias("url"),
         F.col("response.refers_to").alias("target"), F.octet_length(payload).cast("long").alias("n"), F.sha1(payload).alias("sha1"),
     )
-    source = own.where("record_type = 'response'").select(
-        F.col("capture_id").alias("target"), F.col("page_id").alias("target_page"), F.col("n").alias("target_n"), F.col("sha1").alias("target_sha1")
-    )
-    revisit = F.col("record_type") == "revisit"
-    return own.join(source, "target", "left").select(
-        "page_id", F.when(revisit, F.col("target_n")).otherwise(F.col("n")).alias("payload_bytes"),
-        F.when(revisit, F.col("target_sha1")).otherwise(F.col("sha1")).alias("payload_digest"), "record_type",
-        F.when(revisit, F.col("target_page")).alias("refers_to"), "url",
-    )
+    own = materialize(own, "captures")
+    response = own.where("record_type <> 'revisit'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "url")
+    revisits = own.where("record_type = 'revisit'").select("page_id", "url", "target")
+    asked = revisits.groupBy("target").agg(F.count(F.lit(1)).alias("times"))
+    source = own.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"))
+    answered = with_groups(revisits, materialize(asked.join(source, "target"), "warc-answers"), "target", "times")
+    return response.unionByName(answered.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to", "url"))

@@ -50,7 +50,11 @@ def test_archive_edges(spark, tmp_path):
     assert warc.payload_table(warc.captures(warc.read_archive(spark, str(tmp_path / "none")))).count() == 0
     twice = spark.createDataFrame([(1, "u", "t"), (1, "u", "t"), (None, "u", "t"), (1, "v", "t")], "page_id long, url string, html string")
     warc.write_archive(twice, str(tmp_path / "twice"))
-    assert sorted(str(r.page_id) for r in warc.payload_table(warc.captures(warc.read_archive(spark, str(tmp_path / "twice")))).collect()) == ["1", "1", "None"]
+    assert sorted(str(r.page_id) for r in warc.payload_table(warc.captures(warc.read_archive(spark, str(tmp_path / "twice")))).collect()) == ["1", "1", "1", "None"]
+    large = spark.createDataFrame([(1, "u", "t" * 1000), (1, "u", "t" * 1000), (0, "u", "t" * 1000), (None, "u", "t" * 1000)], "page_id long, url string, html string")
+    warc.write_archive(large, str(tmp_path / "large"))
+    rows = warc.payload_table(warc.captures(warc.read_archive(spark, str(tmp_path / "large")))).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in rows) == [("0", "revisit", 1), ("1", "response", None), ("1", "revisit", 1), ("None", "revisit", 1)]
 
 
 def test_links_of_other_writers(spark):
@@ -62,6 +66,18 @@ def test_links_of_other_writers(spark):
     assert got == {"<r>": (1, 1), "<alone>": (0, 0)}
 
 
+def test_groups_joined_without_a_broadcast(spark, monkeypatch):
+    """Hot groups apart, the others by a shuffle: the same rows as one join."""
+    from chronofold.llm import common
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(300)] + [(None, 1), (99, 2)], "k int, v int")
+    groups = common.materialize(rows.where("k < 90").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")), "test-groups")
+    got = lambda: sorted(map(repr, common.with_groups(rows, groups, "k", "n").select("k", "v", "n", "top").collect()))
+    whole = got()
+    monkeypatch.setattr(common, "FEW_GROUPS", 0)
+    assert got() == whole and len(whole) == 302
+
+
 # -- packing -----------------------------------------------------------------------------------------
 
 
