@@ -61,16 +61,16 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, few: int | None = None) -> DataFrame:
     """``rows`` with the columns of their group, null where there is none; no task gets a hot group whole.
 
-    ``groups`` has one row per key, with the number of its rows in ``size``. Few groups are
-    broadcast. Of more, only those are that hold over a quarter of a partition's share of all
+    ``groups`` has one row per key, with the number of its rows in ``size``. Up to ``few`` groups
+    (FEW_GROUPS where it is None) are broadcast. Of more, only those are that hold over a quarter of a partition's share of all
     grouped rows (four per partition at most); the others are joined by a shuffle that none of
     them can make uneven. Both tables are read twice, so they should be stored ones.
     """
     n, total = groups.agg(F.count(F.lit(1)), F.sum(size)).first()
-    if n <= FEW_GROUPS:
+    if n <= (FEW_GROUPS if few is None else few):
         return rows.join(F.broadcast(groups), key, "left")
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(groups.where(F.col(size) * parts > total))
