@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import broadcast_if_small, materialize
+from chronofold.llm.common import broadcast_if_small, fresh_name, materialize
 from chronofold.llm.license_scan import words_of
 
 #: An overlap counts with so many words (or the whole of a shorter item) of which such a share is equal.
@@ -25,10 +25,10 @@ LEAST_WORDS, LEAST_SHARE = 13, 0.8
 #: There, m words with e <= m / 5 changed have a run of at least (m - e) / (e + 1) equal ones, which is above 3
 #: unless m = 15 and e = 3; and the only pattern of those without a run of four is the second seed.
 SEEDS = ("1111", "111011101110111")
-#: Words that a hit is extended by on either side, at most.
-REACH = 60
 #: With at most so many test hashes, each task drops training hashes that no item has before the join.
 FILTER_HASHES = 4_000_000
+#: Bytes of items that are broadcast at once, at most.
+BROADCAST_BYTES = 1 << 26
 
 REGION = "_id long, first int, words string, hits array<struct<seed: int, at: int, hash: long>>"
 
@@ -85,8 +85,8 @@ def _hits(hashes: np.ndarray, masks: list, wanted: np.ndarray | None, sieve: np.
     return out
 
 
-def _regions(docs: DataFrame, masks: list, wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
-    """Stretches of training texts that hold hits, with REACH words around."""
+def _regions(docs: DataFrame, masks: list, wanted: np.ndarray | None, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """Stretches of training texts that hold hits, with ``reach`` words around: those of the longest item, beyond which no overlap goes."""
     longest = max(span for span, _ in masks)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,8 +104,8 @@ def _regions(docs: DataFrame, masks: list, wanted: np.ndarray | None, id_col: st
                     end = k + 1
                     while end < len(hits) and hits[end][1] - hits[end - 1][1] <= longest:
                         end += 1
-                    first = max(0, hits[k][1] - REACH)
-                    around = words[first : hits[end - 1][1] + longest + REACH]
+                    first = max(0, hits[k][1] - reach)
+                    around = words[first : hits[end - 1][1] + longest + reach]
                     rows.append((
                         None if pd.isna(key) else int(key), first, b" ".join(around).decode("utf-8", "surrogatepass"),
                         [{"seed": s, "at": at - first, "hash": h} for s, at, h in hits[k:end]],
@@ -175,6 +175,7 @@ def overlaps(
         .mapInPandas(number_items, "item long, item_words string, n int").where(F.col("n") > 0),
         "items",
     )
+    reach, n_bytes = items.agg(F.max("n"), F.sum(F.octet_length("item_words"))).first()
     # Fewer than LEAST_WORDS sizes.
     sizes = sorted(r["n"] for r in items.where(F.col("n") < LEAST_WORDS).select("n").distinct().collect())
     masks = _masks(sizes)
@@ -198,7 +199,7 @@ def overlaps(
         if len(wanted) == 0:
             wanted = np.zeros(1, dtype=np.uint64)
     regions = materialize(
-        _regions(docs, masks, wanted, id_col, text_col).withColumn("region", F.monotonically_increasing_id()), "regions"
+        _regions(docs, masks, wanted, reach or 0, id_col, text_col).withColumn("region", F.monotonically_increasing_id()), "regions"
     )
     hits = regions.select("region", F.inline("hits"))
     small = broadcast_if_small(tests, tests.count())
@@ -207,7 +208,8 @@ def overlaps(
         .groupBy("region", "item").agg(F.collect_set("shift").alias("shifts"))
     )
     sized = pairs.join(regions.select("region", "_id", "first", "words"), "region")
-    joined = sized.join(broadcast_if_small(items, items.count(), 20_000), sized["item"].eqNullSafe(items["item"])).select(
+    few = F.broadcast(items) if (n_bytes or 0) <= BROADCAST_BYTES else items
+    joined = sized.join(few, sized["item"].eqNullSafe(items["item"])).select(
         "_id", "first", "words", "shifts", sized["item"].alias("item"), "item_words"
     )
 
@@ -236,8 +238,10 @@ def overlaps(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text overlaps no item, with all their columns.
 
-    Rows go by id, so rows that share the id of a contaminated one go too; a null id cannot be
-    told apart and goes if any row without an id is contaminated.
+    Rows go one by one, not by their ids: a row without an id, or one that shares the id of a
+    contaminated row, stays if its own text is clean.
     """
-    bad = materialize(overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).cast("long").alias("_bad")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad, bad.count()), docs[id_col].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    row = fresh_name(docs, "_row")
+    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias(row)), "leak-rows")
+    bad = materialize(overlaps(rows, benchmark, row, text_col).select(row).distinct(), "contaminated")
+    return rows.join(broadcast_if_small(bad, bad.count()), row, "left_anti").drop(row)

@@ -405,6 +405,8 @@ def test_decontamination(spark):
     assert all(r.share >= 0.8 and r.n_equal <= r.n_words for r in got)
     left = {r.doc_id for r in decontamination.drop_contaminated(frame(spark, docs), bench).collect()}
     assert left == {i for i, _ in docs} - {d for d, _ in want} - {None}
+    clean = frame(spark, [(None, "all clean here"), (None, " ".join(items[0][1])), (1, "clean"), (1, " ".join(items[1][1]))])
+    assert {r.text for r in decontamination.drop_contaminated(clean, bench).collect()} == {"all clean here", "clean"}
     assert decontamination.overlaps(frame(spark, []), bench).count() == 0
     assert decontamination.overlaps(frame(spark, docs), bench.limit(0)).count() == 0
 
@@ -444,6 +446,28 @@ def test_decontamination_of_changed_words(spark):
     assert got == want
 
 
+def test_decontamination_of_all_pairs(spark):
+    """Against every diagonal of every document and item, also where an overlap is long and its hits lie far from its ends."""
+    rng = random.Random(23)
+    voc = [f"v{k}" for k in range(30)]
+    line = lambda n: [rng.choice(voc) for _ in range(n)]
+    items = [(k, line(rng.choice([1, 2, 4, 6, 9, 12, 13, 20, 35, 300]))) for k in range(12)]
+    docs = []
+    for d in range(100):
+        own = list(rng.choice(items)[1]) if d % 2 else []
+        docs.append((d, line(rng.randint(0, 60)) + [w if rng.random() > 0.12 else "x" for w in own] + line(rng.randint(0, 40))))
+    number = {w: k for k, w in enumerate({w for _, t in items + docs for w in t})}
+    coded = lambda t: np.array([number[w] for w in t], dtype=np.int64)
+    want = {
+        (d, k) for d, t in docs for k, i in items
+        if any(decontamination.extend(coded(t), coded(i), shift)[1] for shift in range(-len(i), len(t) + 1))
+    }
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    rows = decontamination.overlaps(frame(spark, [(d, " ".join(t)) for d, t in docs]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(want) > 30
+    assert any(r.n_words > 200 for r in rows)
+
+
 def test_overlap_beside_a_shorter_one_with_more_equal_words():
     """Twelve equal words do not count; thirteen with eleven equal on the same diagonal do."""
     item = np.arange(60)
