@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.functions.lifecycle import is_terminal, is_valid_transition
+from chronofold.functions.lifecycle import MOST, is_terminal, is_valid_transition
 
 
 def _of(events: DataFrame, *kinds: str) -> DataFrame:
@@ -158,6 +158,7 @@ def budget_steps(events: DataFrame) -> DataFrame:
     """Budget events with their epoch (an allocation or replenishment starts one), running consumption and limit.
 
     Before the first allocation the epoch is 0 and nothing counts; a replenishment needs one.
+    Consumption stays at 2^63 - 1 where it would go beyond.
     """
     w = Window.partitionBy("task_id", "dimension").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kind = F.col("event_type")
@@ -166,9 +167,10 @@ def budget_steps(events: DataFrame) -> DataFrame:
     reset = kind.isin("BudgetAllocated", "BudgetReplenished")
     epochs = known.withColumn("epoch", F.sum(reset.cast("long")).over(w))
     e = Window.partitionBy("task_id", "dimension", "epoch").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    used = F.sum(F.when(kind == "BudgetConsumed", F.col("amount")).cast("decimal(38,0)")).over(e)
     return epochs.select(
         "sequence", "event_type", "ts", "task_id", "dimension", "epoch", F.first("amount").over(e).alias("limit"),
-        F.coalesce(F.sum(F.when(kind == "BudgetConsumed", F.col("amount"))).over(e), F.lit(0).cast("long")).alias("consumed"),
+        F.least(F.coalesce(used, F.lit(0)), F.lit(MOST).cast("decimal(38,0)")).cast("long").alias("consumed"),
         F.max(kind == "BudgetExhausted").over(e).alias("flagged"),
     )
 
@@ -184,8 +186,11 @@ def budgets(events: DataFrame) -> DataFrame:
 
 
 def subscriptions(events: DataFrame) -> DataFrame:
+    """Subscriptions by their last creation; what was triggered or canceled before it does not count."""
     kind = F.col("event_type")
-    own = _of(events, "SubscriptionCreated", "SubscriptionTriggered", "SubscriptionCanceled")
+    w = Window.partitionBy("subscription_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = _of(events, "SubscriptionCreated", "SubscriptionTriggered", "SubscriptionCanceled")
+    own = told.withColumn("begin", F.max(F.when(kind == "SubscriptionCreated", F.col("sequence"))).over(w)).where("sequence >= begin")
     at = lambda name: F.max_by("ts", F.when(kind == name, F.col("sequence")))
     made = F.when(kind == "SubscriptionCreated", F.col("sequence"))
     return own.groupBy("subscription_id").agg(
@@ -213,7 +218,9 @@ def actors(events: DataFrame) -> DataFrame:
 
 
 def tenants(events: DataFrame) -> DataFrame:
-    return _of(events, "TenantCreated").groupBy("tenant_id").agg(_last("name").alias("name"), F.min("ts").alias("created_at"))
+    """Tenants as last created: a later creation takes the place of the one before."""
+    last = _of(events, "TenantCreated").groupBy("tenant_id").agg(_last(F.struct("name", F.col("ts").alias("created_at"))).alias("t"))
+    return last.select("tenant_id", "t.*")
 
 
 def roles(events: DataFrame) -> DataFrame:

@@ -45,11 +45,16 @@ def reachable(edges: DataFrame, start: DataFrame, parent: str, child: str) -> Da
     return _spread(start.select(first.alias("origin"), first.alias("node")).distinct(), edges.select(F.col(parent).alias("node"), F.col(child).alias("next")))
 
 
+def _below(edges: DataFrame, start: DataFrame, parent: str, child: str) -> DataFrame:
+    """task_id of every node that edges parent → child reach from any start; all starts are one origin, so a node is one row."""
+    first = start.select(F.lit(0).alias("origin"), F.col("task_id").alias("node")).distinct()
+    reached = _spread(first, edges.select(F.col(parent).alias("node"), F.col(child).alias("next")))
+    return reached.select(F.col("node").alias("task_id"))
+
+
 def failed_closure(edges: DataFrame, failed: DataFrame) -> DataFrame:
     """Tasks that cannot run since a prerequisite, direct or not, has failed: task_id."""
-    start = failed.select(F.lit(0).alias("origin"), F.col("task_id").alias("node")).distinct()
-    below = _spread(start, edges.select(F.col("prereq_id").alias("node"), F.col("task_id").alias("next")))
-    return below.select(F.col("node").alias("task_id")).join(failed.select("task_id"), "task_id", "left_anti")
+    return _below(edges, failed, "prereq_id", "task_id").join(failed.select("task_id"), "task_id", "left_anti")
 
 
 def eligibility(tasks: DataFrame, edges: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -67,6 +72,16 @@ def eligibility(tasks: DataFrame, edges: DataFrame, outcomes: DataFrame) -> Data
     return tasks.select("task_id").join(open_prereqs, "task_id", "left").join(blocked, "task_id", "left").select("task_id", gate.alias("gate"))
 
 
+def dependency_cancels(runs: DataFrame, gates: DataFrame) -> DataFrame:
+    """Live runs of tasks that cannot run any more since a prerequisite failed: what a start after a crash cancels."""
+    return runs.where(~is_terminal(F.col("state"))).join(gates.where("gate = 'failed'").select("task_id"), "task_id", "left_semi")
+
+
+def eligible_runs(runs: DataFrame, gates: DataFrame) -> DataFrame:
+    """Runs whose task's prerequisites are all met."""
+    return runs.join(gates.where("gate = 'eligible'").select("task_id"), "task_id", "left_semi")
+
+
 def newly_eligible(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.where("gate = 'eligible'").select("task_id").join(before.where("gate = 'eligible'").select("task_id"), "task_id", "left_anti")
 
@@ -98,8 +113,8 @@ def child_violations(children: DataFrame, tasks: DataFrame, outcomes: DataFrame,
 
 def cascade(tasks: DataFrame, canceled: DataFrame, terminal: DataFrame) -> DataFrame:
     """Tasks that a cancellation reaches: all live descendants, also below ended ones."""
-    below = reachable(tasks.where("parent_task_id is not null"), canceled.select("task_id"), "parent_task_id", "task_id")
-    return below.select(F.col("node").alias("task_id")).distinct().join(terminal.select("task_id"), "task_id", "left_anti")
+    below = _below(tasks.where("parent_task_id is not null"), canceled, "parent_task_id", "task_id")
+    return below.join(terminal.select("task_id"), "task_id", "left_anti")
 
 
 def children_states(tasks: DataFrame, runs: DataFrame) -> DataFrame:
@@ -112,5 +127,5 @@ def children_states(tasks: DataFrame, runs: DataFrame) -> DataFrame:
 def collectable(tasks: DataFrame, terminal: DataFrame) -> DataFrame:
     """Ended tasks without live descendants: their state may go."""
     live = tasks.join(terminal.select("task_id"), "task_id", "left_anti").select("task_id")
-    above = reachable(tasks.where("parent_task_id is not null"), live, "task_id", "parent_task_id").select(F.col("node").alias("task_id")).distinct()
+    above = _below(tasks.where("parent_task_id is not null"), live, "task_id", "parent_task_id")
     return terminal.select("task_id").join(above, "task_id", "left_anti")

@@ -51,8 +51,10 @@ def lag_histogram(runs: DataFrame, now: Column, buckets: tuple[float, ...] = LAG
 
 def list_runs(runs: DataFrame, tasks: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of runs by scheduled_at, run_id with their task's concurrency key (null where the task is unknown)."""
-    keyed = runs.join(tasks.select("task_id", "concurrency_key"), "task_id", "left")
-    return keyed.orderBy("scheduled_at", "run_id").offset(offset).limit(limit)
+    some = runs.orderBy("scheduled_at", "run_id").offset(offset).limit(limit)
+    # A page has 1000 rows at most.
+    wanted = tasks.select("task_id", "concurrency_key").join(F.broadcast(some.select("task_id").distinct()), "task_id", "left_semi")
+    return some.join(wanted, "task_id", "left").orderBy("scheduled_at", "run_id")
 
 
 def list_tasks(tasks: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -79,6 +81,37 @@ def run_detail(runs: DataFrame, history: DataFrame, attempts: DataFrame, leases:
     return runs.join(told, "run_id", "left").join(tried, "run_id", "left").join(held, "run_id", "left").withColumn("block_reason", block_reason(F.col("state")))
 
 
+def task_detail(tasks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Nested rows: a task with its runs in order of their times."""
+    own = runs.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("scheduled_at", "run_id", "state", "attempt_count"))).alias("runs"))
+    return tasks.join(own, "task_id", "left")
+
+
+def found(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row with a key, or none; on stored tables the filter reaches the scan."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def cooperation_counts(classes: DataFrame) -> DataFrame:
+    """Timed-out attempts by how they ended: cooperative, threshold_breach, non_cooperative."""
+    kinds = (("cooperative", "Cooperative"), ("threshold_breach", "ThresholdBreach"), ("non_cooperative", "NonCooperative"))
+    return classes.agg(*[F.count_if(F.col("cooperation") == kind).alias(name) for name, kind in kinds])
+
+
+def tick_totals(**parts: DataFrame) -> DataFrame:
+    """One row: how many rows each part of a tick has (promotions, dispatches, expirations ...)."""
+    (first, rows), *more = parts.items()
+    out = rows.agg(F.count(F.lit(1)).alias(first))
+    for name, rows in more:
+        out = out.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias(name))))  # one row each
+    return out
+
+
+def department_members(actors: DataFrame) -> DataFrame:
+    """Active actors per department; an actor is in the department of its last registration."""
+    return actors.where("deregistered_at is null and department is not null").groupBy("department").agg(F.count(F.lit(1)).alias("actors"))
+
+
 def runs_of_task(runs: DataFrame) -> DataFrame:
     return runs.groupBy("task_id").agg(F.sort_array(F.collect_list("run_id")).alias("run_ids"))
 

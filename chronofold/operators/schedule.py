@@ -24,11 +24,11 @@ def derive_once(tasks: DataFrame, now: Column) -> DataFrame:
     return tasks.where("policy = 'once' and already = 0").select("task_id", F.lit(0).cast("long").alias("run_index"), now.alias("scheduled_at"))
 
 
-def derive_repeat(tasks: DataFrame) -> DataFrame:
-    """Runs already..repeat_count-1 at origin + index * interval. Overflow raises, so no task is derived in part."""
+def derive_repeat(tasks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Runs already..repeat_count-1 at origin + index * interval, with the task's columns ``keep``. Overflow raises, so no task is derived in part."""
     some = tasks.where((F.col("policy") == "repeat") & (F.col("already") < F.col("repeat_count")))
-    return some.select("task_id", "origin", "interval_secs", F.explode(F.sequence(F.col("already"), F.col("repeat_count") - 1)).alias("run_index")).select(
-        "task_id", "run_index", (F.col("origin") + F.col("run_index") * F.col("interval_secs")).alias("scheduled_at")
+    return some.select("task_id", "origin", "interval_secs", *keep, F.explode(F.sequence(F.col("already"), F.col("repeat_count") - 1)).alias("run_index")).select(
+        "task_id", "run_index", (F.col("origin") + F.col("run_index") * F.col("interval_secs")).alias("scheduled_at"), *keep
     )
 
 
@@ -131,17 +131,21 @@ def timed_out_actors(actors: DataFrame, now: Column, multiplier: int = 3) -> Dat
 def eligible_actors(requirements: DataFrame, actors: DataFrame) -> DataFrame:
     """(task_id, actor_id) of active actors that offer all that a task requires.
 
-    Required capabilities are counted against an equi-join on the capability; tasks that require
-    nothing match every active actor, which is a product by its meaning.
+    Distinct sets of required capabilities are matched with distinct sets of offered ones, by an
+    equi-join on the capability and a count; tasks and actors then join by their sets. An empty
+    requirement is met by every set.
     """
-    active = actors.where("deregistered_at is null").select("actor_id", F.explode(F.array_distinct("capabilities")).alias("capability"))
-    needs = requirements.select("task_id", F.array_distinct(F.coalesce("required_capabilities", F.array().cast("array<string>"))).alias("needed"))
+    none = F.array().cast("array<string>")
+    as_set = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, none)))
+    active = actors.where("deregistered_at is null").select("actor_id", as_set("capabilities").alias("offered"))
+    needs = requirements.select("task_id", as_set("required_capabilities").alias("needed"))
+    needed, offered = needs.select("needed").distinct(), active.select("offered").distinct()
     matched = (
-        needs.select("task_id", F.size("needed").alias("n"), F.explode("needed").alias("capability")).join(active, "capability")
-        .groupBy("task_id", "actor_id", "n").agg(F.count(F.lit(1)).alias("met")).where("met = n").select("task_id", "actor_id")
+        needed.select("needed", F.explode("needed").alias("capability")).join(offered.select("offered", F.explode("offered").alias("capability")), "capability")
+        .groupBy("needed", "offered").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") == F.size("needed")).select("needed", "offered")
     )
-    free = needs.where(F.size("needed") == 0).select("task_id").crossJoin(actors.where("deregistered_at is null").select("actor_id"))
-    return matched.unionByName(free)
+    free = offered.select(none.alias("needed"), "offered")
+    return needs.join(matched.unionByName(free), "needed").join(active, "offered").select("task_id", "actor_id")
 
 
 def can_claim(pairs: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.functions.lifecycle import is_terminal, is_valid_transition
+from chronofold.functions.lifecycle import is_valid_transition
 from chronofold.model import TRANSITIONS
+from chronofold.sources.scratch import materialize
 
 
 def transition_table(spark) -> DataFrame:
@@ -15,10 +16,17 @@ def transition_table(spark) -> DataFrame:
 
 
 def sequence_gaps(commands: DataFrame, latest: int) -> DataFrame:
-    """Commands (sequence, command_id) that are not latest+1, +2, ... in order of command_id."""
-    # Admission is serial by its meaning: one order over all commands of a batch.
-    w = Window.orderBy("command_id")
-    return commands.withColumn("expected", F.row_number().over(w) + F.lit(latest)).where("sequence <> expected")
+    """Commands (sequence, command_id) that are not latest+1, +2, ... in order of command_id.
+
+    Ranges of command_id are numbered apart, each from the count of those before it.
+    """
+    dealt = materialize(commands.repartitionByRange("command_id").withColumn("_part", F.spark_partition_id()), "commands")
+    # A row per partition.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy("command_id"))
+    numbered = dealt.withColumn("_number", number).join(F.broadcast(counts), "_part")
+    return numbered.withColumn("expected", F.col("_number") + F.col("_before") + F.lit(latest)).where("sequence <> expected").select(*commands.columns, "expected")
 
 
 def rejected(commands: DataFrame, state: dict[str, DataFrame]) -> DataFrame:
@@ -89,25 +97,44 @@ def engine_violations(engine: DataFrame) -> DataFrame:
 def history_violations(runs: DataFrame, history: DataFrame, attempts: DataFrame, leases: DataFrame) -> DataFrame:
     """Runs of a snapshot whose history, attempts or lease do not fit: run_id, violation."""
     w = Window.partitionBy("run_id").orderBy("sequence")
-    chain = history.withColumns({"before": F.lag("to_state").over(w), "n": F.row_number().over(w)})
+    chain = history.withColumns({"before": F.lag("to_state").over(w), "n": F.row_number().over(w)}).join(runs.select("run_id", "created_at"), "run_id", "left")
     broken = chain.groupBy("run_id").agg(
-        F.bool_or((F.col("n") == 1) & (F.col("from_state").isNotNull() | (F.col("to_state") != "Scheduled"))).alias("bad_start"),
+        F.bool_or((F.col("n") == 1) & (F.col("from_state").isNotNull() | (F.col("to_state") != "Scheduled") | (F.col("ts") != F.col("created_at")))).alias("bad_start"),
         F.bool_or((F.col("n") > 1) & ~F.col("from_state").eqNullSafe(F.col("before"))).alias("gap"),
         F.bool_or((F.col("n") > 1) & ~is_valid_transition(F.col("from_state"), F.col("to_state"))).alias("illegal"),
         F.max_by("to_state", "sequence").alias("last"),
     )
-    tried = attempts.groupBy("run_id").agg(F.count(F.lit(1)).alias("tried"), F.count_if(F.col("finished_at").isNull()).alias("unfinished"))
-    out = runs.join(broken, "run_id", "left").join(tried, "run_id", "left").join(leases.select("run_id", F.lit(True).alias("leased")), "run_id", "left")
-    tried_n, open_n = F.coalesce("tried", F.lit(0)), F.coalesce("unfinished", F.lit(0))
+    tried = attempts.groupBy("run_id").agg(F.count(F.lit(1)).alias("tried"))
+    current = attempts.groupBy("run_id", F.col("attempt_id").alias("current_attempt_id")).agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("finished_at").isNull()).alias("unfinished"))
+    out = runs.join(broken, "run_id", "left").join(tried, "run_id", "left").join(current, ["run_id", "current_attempt_id"], "left").join(leases.select("run_id", F.lit(True).alias("leased")), "run_id", "left")
+    tried_n = F.coalesce("tried", F.lit(0))
     violation = (
         F.when(F.col("last").isNull(), "no_history").when(F.col("bad_start"), "bad_start").when(F.col("gap"), "gap").when(F.col("illegal"), "illegal")
         .when(F.col("last") != F.col("state"), "last_state").when(tried_n != F.col("attempt_count"), "attempt_count")
-        .when(F.col("current_attempt_id").isNotNull() & (open_n != 1), "active_attempt")
-        .when(F.col("leased") & is_terminal(F.col("state")), "lease_after_end")
+        .when(F.col("current_attempt_id").isNotNull() & ~F.coalesce((F.col("found") == 1) & (F.col("unfinished") == 1), F.lit(False)), "active_attempt")
+        .when(F.col("leased") & ~F.col("state").isin("Ready", "Leased", "Running"), "lease_presence")
     )
     return out.select("run_id", violation.alias("violation")).where("violation is not null")
 
 
+def run_violations(runs: DataFrame) -> DataFrame:
+    """Runs of a snapshot that cannot be, with the first rule that each breaks: run_id, violation.
+
+    A nil or missing id; Ready although scheduled after its creation; an attempt under way in a
+    state other than Running or Canceled, or with an attempt count of 0.
+    """
+    nil = "00000000-0000-0000-0000-000000000000"
+    none = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == nil)
+    active = F.col("current_attempt_id").isNotNull()
+    violation = (
+        F.when(none("run_id"), "run_id").when(none("task_id"), "task_id")
+        .when((F.col("state") == "Ready") & (F.col("scheduled_at") > F.col("created_at")), "ready_schedule")
+        .when(active & ~F.col("state").isin("Running", "Canceled"), "attempt_state")
+        .when(active & (F.col("attempt_count") == 0), "attempt_count")
+    )
+    return runs.select("run_id", violation.alias("violation")).where("violation is not null")
+
+
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Rows whose parent does not exist."""
     return children.join(parents.select(key), key, "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.model import STATES, epoch
-from chronofold.operators import fold, schedule
+from chronofold.operators import schedule
 
 #: The instant of reports over orders, and of those over events.
 NOW = 852_076_800
@@ -43,9 +43,9 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived runs of all tasks."""
     task = tasks(spark, sf_dir)
-    derived = schedule.derive_repeat(task.withColumn("already", F.lit(0).cast("long")))
+    derived = schedule.derive_repeat(task.withColumn("already", F.lit(0).cast("long")), keep=("priority", "concurrency_key", "created_at", "max_attempts"))
     number = F.col("task_id") + F.col("run_index")
-    return derived.join(task.select("task_id", "priority", "concurrency_key", "created_at", "max_attempts"), "task_id").select(
+    return derived.select(
         (F.col("task_id") * 10 + F.col("run_index")).alias("run_id"), "task_id", _state(number).alias("state"), (number % 5).alias("attempt_count"), "created_at", "scheduled_at",
         "priority", "concurrency_key", "max_attempts", (F.col("scheduled_at") + 60 * (F.col("run_index") + 1)).alias("last_state_change_at"),
     )
@@ -104,10 +104,6 @@ def lease_events(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("event_type").isin("view", "click", "error")).select("sequence", kind.alias("event_type"), "ts", "run_id", (F.col("run_id") % 7).alias("owner"), (F.col("ts") + 300).alias("expiry"))
 
 
-def no_changes(raw: DataFrame) -> DataFrame:
-    return fold.transitions(state_events(raw)).where(F.lit(False))
-
-
 def actor_events(raw: DataFrame) -> DataFrame:
     """Signups register a user as an actor, views are heartbeats, odd errors deregister."""
     kind = F.when(F.col("event_type") == "signup", "ActorRegistered").when(F.col("event_type") == "view", "ActorHeartbeat").otherwise("ActorDeregistered")

@@ -74,6 +74,8 @@ def test_budgets(spark):
     assert rows(fold.budgets(events(spark, [*steps, b(4, "BudgetReplenished", 200)])), "limit", "consumed", "exhausted") == [(200, 0, False)]
     assert fold.budgets(events(spark, [b(1, "BudgetConsumed", 7), b(2, "BudgetReplenished", 5)])).count() == 0
     assert rows(fold.budgets(events(spark, [b(1, "BudgetAllocated", 100), b(2, "BudgetExhausted", None)])), "exhausted") == [(True,)]
+    huge = events(spark, [b(1, "BudgetAllocated", 100), b(2, "BudgetConsumed", 2**62), b(3, "BudgetConsumed", 2**62), b(4, "BudgetConsumed", 2**62)])
+    assert rows(fold.budgets(huge), "consumed", "exhausted") == [(2**63 - 1, True)]
     three = spark.createDataFrame([("t", "Token", 90, 100), ("t", "Cost", 160, 200), ("t", "Time", 20, 50)], "task_id string, dimension string, consumed long, limit long")
     assert report.budget_crossings(three, 80).count() == 2
 
@@ -91,6 +93,9 @@ def test_upserts(spark):
     assert rows(fold.roles(told), "role") == [("r2",)]
     assert rows(fold.grants(told), "granted_at", "revoked_at") == [(90, None)]
     assert rows(fold.subscriptions(told), "created_at", "triggered_at", "canceled_at") == [(100, 110, None)]
+    again = told.unionByName(events(spark, [e(15, "SubscriptionCreated", subscription_id="s", task_id="t"), e(16, "TenantCreated", tenant_id="n", name="a"), e(17, "TenantCreated", tenant_id="n", name="b")]))
+    assert rows(fold.subscriptions(again), "created_at", "triggered_at", "canceled_at") == [(150, None, None)]
+    assert rows(fold.tenants(again), "name", "created_at") == [("b", 170)]
     assert fold.active_subscriptions(fold.subscriptions(told)).count() == 0
     assert tuple(fold.engine_control(told).first()) == (False, 120, 130)
     assert rows(fold.dependencies(told), "prereq_id") == [("x",), ("y",)]
@@ -152,5 +157,11 @@ def test_snapshot_audit(spark, small):
     assert validate.history_violations(*args).count() == 0
     gap = args[1].where("sequence <> 5")
     assert rows(validate.history_violations(args[0], gap, *args[2:]), "run_id", "violation") == [("A", "gap")]
+    late = args[1].withColumn("ts", F.when(F.col("run_id") == "B", F.col("ts") + F.when(F.col("sequence") == 10, 1).otherwise(0)).otherwise(F.col("ts")))
+    assert rows(validate.history_violations(args[0], late, *args[2:]), "run_id", "violation") == [("B", "bad_start")]
+    held = spark.createDataFrame([("A",), ("B",)], "run_id string")
+    assert rows(validate.history_violations(*args[:3], held), "run_id", "violation") == [("A", "lease_presence")]
+    payload = spark.createDataFrame([("a", "t", "Ready", 5, 4, None, 0), ("b", None, "Ready", 4, 4, None, 0), ("c", "t", "Leased", 4, 4, "x", 1), ("d", "t", "Running", 4, 4, "x", 0), ("e", "t", "Canceled", 9, 4, "x", 2)], "run_id string, task_id string, state string, scheduled_at long, created_at long, current_attempt_id string, attempt_count long")
+    assert rows(validate.run_violations(payload), "run_id", "violation") == [("a", "ready_schedule"), ("b", "task_id"), ("c", "attempt_state"), ("d", "attempt_count")]
     assert validate.engine_violations(spark.createDataFrame([(True, 5, None), (True, None, None), (False, 5, 4), (False, None, None)], "paused boolean, paused_at long, resumed_at long")).count() == 2
     assert fold.trim_terminal(args[1], args[0]).select("run_id").distinct().collect()[0][0] == "B"
