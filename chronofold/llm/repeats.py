@@ -33,8 +33,8 @@ BLOCK = "bucket int, kind int, payload binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: Anchors, contexts and text bytes that a task combines before it sends them on.
 MOST_ANCHORS, MOST_CONTEXTS, MOST_BYTES = 1_500_000, 250_000, 16_000_000
-#: Buckets of contexts for each partition: a task compares one at a time, so it holds a small part of its share.
-CONTEXT_BUCKETS = 16
+#: Parts of a block of contexts, by hash: a task unpacks and compares one part of all its blocks at a time.
+PARTS = 8
 #: Bits of an anchor's hash that travel; anchors that share a hash by chance are told apart by their contexts.
 HASH_BITS = np.uint64((1 << 48) - 1)
 #: Text bytes whose anchors are found at once.
@@ -295,10 +295,15 @@ def _cut_contexts(units: Units, buckets: int, collapse: bool = True) -> Callable
             ids, tags, pos = (np.array([r[k] for r in keep], dtype=np.int64) for k in (0, 1, 3))
             h = np.array([r[2] for r in keep], dtype=np.uint64)
             before, after = (np.array([r[k] for r in keep], dtype=np.uint8) for k in (4, 5))
-            for b, at in _by_bucket(_bucket(h, buckets * CONTEXT_BUCKETS)):
-                lines = [keep[i][6] for i in at]
-                text = np.frombuffer(b"".join(lines), dtype=np.uint8)
-                out.append((b, CONTEXTS, freeze(ids[at], tags[at], h[at], pos[at].astype(np.int32), before[at], after[at], np.array([len(x) for x in lines], dtype=np.int32), text)))
+            fine = _bucket(h, buckets * PARTS)
+            for b, own in _by_bucket(fine % buckets):
+                parts = [b""] * PARTS
+                for part, some in _by_bucket(fine[own] // buckets):
+                    at = own[some]
+                    lines = [keep[i][6] for i in at]
+                    text = np.frombuffer(b"".join(lines), dtype=np.uint8)
+                    parts[part] = freeze(ids[at], tags[at], h[at], pos[at].astype(np.int32), before[at], after[at], np.array([len(x) for x in lines], dtype=np.int32), text)
+                out.append((b, CONTEXTS, struct.pack(f"<{PARTS}q", *map(len, parts)) + b"".join(parts)))
         out += _span_rows(spans, buckets)
         if out:
             yield _batch(out)
@@ -479,27 +484,39 @@ def _later_spans(c: _Contexts, length: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _contexts_in(rows: Iterator[tuple[int, bytes]], passed: list[tuple[int, bytes]]) -> tuple[list[np.ndarray], list[bytes]] | None:
-    parts, lines = [], []
+def _contexts_in(rows: Iterator[tuple[int, bytes]], passed: list[tuple[int, bytes]]) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
+    """Contexts of a bucket, part by part; rows of other kinds go to ``passed`` before the first part comes."""
+    blocks = []
     for kind, payload in rows:
-        if kind != CONTEXTS:
+        if kind == CONTEXTS:
+            blocks.append(payload)
+        else:
             passed.append((kind, payload))
-            continue
-        *columns, sizes, raw = thaw(payload)
-        parts.append(columns)
-        text, ends = raw.tobytes(), np.cumsum(sizes).tolist()
-        lines += [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    return (_joined(parts), lines) if parts else None
+    head = 8 * PARTS
+    ends = [head + np.cumsum(struct.unpack_from(f"<{PARTS}q", x)) for x in blocks]
+    for part in range(PARTS):
+        columns, lines = [], []
+        for payload, end in zip(blocks, ends, strict=True):
+            own = payload[int(end[part - 1]) if part else head : int(end[part])]
+            if not own:
+                continue
+            *more, sizes, raw = thaw(own)
+            columns.append(more)
+            text, cuts = raw.tobytes(), np.cumsum(sizes).tolist()
+            lines += [text[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        if columns:
+            yield _joined(columns), lines
 
 
 def _compare(units: Units, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_key(batches):
             passed: list[tuple[int, bytes]] = []
-            got = _contexts_in(rows, passed)
-            out = [(bucket, kind, payload) for kind, payload in passed]
-            if got and (contexts := _sorted_contexts(units, *got)):
-                out += _span_rows(_later_spans(contexts, units.length), buckets)
+            spans: list[tuple[int, int, int, int]] = []
+            for got in _contexts_in(rows, passed):
+                if contexts := _sorted_contexts(units, *got):
+                    spans += _later_spans(contexts, units.length)
+            out = [(bucket, kind, payload) for kind, payload in passed] + _span_rows(spans, buckets)
             if out:
                 yield _batch(out)
 
@@ -528,21 +545,20 @@ def _picks(units: Units, c: _Contexts, row: int, before: int, after: int) -> boo
 def _list_groups(units: Units) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches):
-            got = _contexts_in(rows, [])
-            contexts = _sorted_contexts(units, *got) if got else None
-            if contexts is None:
-                continue
-            c, out = contexts, []
-            starts, _ = _runs(c.h)
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(c.h)], strict=True):
-                for k, (at, before, after) in enumerate(repeat_groups(c.right[a:b], c.n_right[a:b], c.left[a:b], c.n_left[a:b], units.length)):
-                    places = sorted({(int(c.ids[i]), int(c.tags[i]), int(c.pos[i]) - before) for i in (a + at).tolist()})
-                    documents = {p[:2] for p in places}
-                    if not _picks(units, c, a + int(at[0]), before, after):
-                        continue
-                    if len(places) > 1 if units.within_document else len(documents) > 1:
-                        found = [{"id": None if i == NO_ID else i, "start": start} for i, _, start in places]
-                        out.append((f"{int(c.h[a]):012x}-{k}", before + after, len(documents), found))
+            out = []
+            for got in _contexts_in(rows, []):
+                if (c := _sorted_contexts(units, *got)) is None:
+                    continue
+                starts, _ = _runs(c.h)
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(c.h)], strict=True):
+                    for k, (at, before, after) in enumerate(repeat_groups(c.right[a:b], c.n_right[a:b], c.left[a:b], c.n_left[a:b], units.length)):
+                        places = sorted({(int(c.ids[i]), int(c.tags[i]), int(c.pos[i]) - before) for i in (a + at).tolist()})
+                        documents = {p[:2] for p in places}
+                        if not _picks(units, c, a + int(at[0]), before, after):
+                            continue
+                        if len(places) > 1 if units.within_document else len(documents) > 1:
+                            found = [{"id": None if i == NO_ID else i, "start": start} for i, _, start in places]
+                            out.append((f"{int(c.h[a]):012x}-{k}", before + after, len(documents), found))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out, strict=True), _GROUP_SCHEMA.types, strict=True)], schema=_GROUP_SCHEMA)
 
