@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from chronofold.llm.common import materialize
 
 
+#: Links that a stored part has: few links make few files and tasks, however many partitions the session has.
+PART_LINKS = 250_000
+
+
 def _lowest(links: DataFrame) -> DataFrame:
     """Per node u of links (u, v): the smallest of u and its neighbours."""
     return links.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
@@ -23,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialize(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links"
     )
-    seen = None
+    seen, n = None, edges.count()
     while True:
         # Large star: each larger neighbour of u is linked to the smallest around u.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,12 +39,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .where("u > v").distinct()
         )
-        edges = materialize(small, "links")
+        edges = materialize(small.coalesce(max(1, -(-n // PART_LINKS))), "links")
         state = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))
         ).first()
         if state == seen:
             break
-        seen = state
+        seen, n = state, state[0]
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
