@@ -78,6 +78,21 @@ ORACLE_SQL = {
                CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to, url
         FROM d
     """,
+    "op6_suffix_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+        w AS (SELECT doc_id, n, unnest(generate_series(1, n)) AS k, x FROM d),
+        win AS (SELECT doc_id, k, substr(x, 2 * k - 1, 2) AS b, CASE WHEN k <= n - 49 THEN unhex(substr(x, 2 * k - 1, 100)) END AS s FROM w),
+        f AS (SELECT doc_id, k, b, s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id AS again FROM win),
+        c AS (SELECT doc_id, k, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), false) AS opens FROM c),
+        g AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+                   sha256(unhex(coalesce(string_agg(b, '' ORDER BY k) FILTER (NOT gone), ''))) AS kept_sha256
+            FROM e GROUP BY doc_id
+        )
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """,
     "op7_recompression_repeats": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, ws, len(ws) AS n FROM d),
