@@ -30,7 +30,7 @@ def test_registered():
     assert "except ImportError" not in inspect.getsource(corpus_pipeline)
 
 
-@pytest.mark.parametrize("name", ["op1_warc_transactions", "op8_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_warc_transactions", "op6_suffix_repeats", "op7_recompression_repeats", "op8_exact_dedup"])
 def test_sql(spark, name):
     db = duckdb.connect()
     for t in ("pages", "documents"):
