@@ -8,10 +8,12 @@ thousands) are the only cost of packing groups apart.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,30 +31,38 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _tokenizers: dict = {}
 _pieces: dict = {}
-#: Cached words; the cache is emptied when full.
-_MOST_WORDS = 600_000
+#: Cached words; the cache is emptied when full, and at a task's end: Python workers live on.
+_MOST_WORDS = 100_000
 
 
 def _tokenizer(name: str):
-    """The tokenizers model, and the tiktoken encoding of the same vocabulary for ordinary words."""
+    """The tiktoken encoding of the vocabulary for ordinary words, the strings of added tokens, and the bytes of each id."""
     if name not in _tokenizers:
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(public_tokenizers.path(name))
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         words = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        special = [t.content for t in whole.get_added_tokens_decoder().values()]
         widths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         widths[list(ranks.values())] = [len(x) for x in ranks]
-        _tokenizers[name] = whole, words, special, widths
+        _tokenizers[name] = words, special, widths
     return _tokenizers[name]
 
 
+@cache
+def _whole_tokenizer(name: str):
+    """The tokenizers model, which only texts with added tokens' strings need."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def token_bytes(text: str, tokenizer: str) -> bytes:
     """The text's token ids as little-endian unsigned 32-bit numbers.
 
@@ -60,9 +70,9 @@ def token_bytes(text: str, tokenizer: str) -> bytes:
     vocabulary's pre-tokenizer always cuts there, so the parts are encoded apart, and those met
     before come from a cache. Texts with added tokens' strings go to the tokenizers model whole.
     """
-    whole, words, special, widths = _tokenizer(tokenizer)
+    words, special, widths = _tokenizer(tokenizer)
     if any(s in text for s in special):
-        return np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(_whole_tokenizer(tokenizer).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     if len(_pieces) > _MOST_WORDS:
         _pieces.clear()
     if "\0" in text:
@@ -119,6 +129,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
                 for k, (a, n) in enumerate(cut_points(len(ids) // 4, capacity)):
                     rows.append((key, k, a, n, zlib.crc32(memoryview(ids)[4 * a : 4 * (a + n)])))
             yield pd.DataFrame(rows, columns=["_id", "piece", "start", "length", "ids_crc32"]).astype({"_id": "Int64"})
+        _pieces.clear()
 
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return slim.mapInPandas(cut, PIECES)

@@ -68,7 +68,7 @@ class ToxicityModel:
 class Scorer(dict):
     """Weights by word, filled in as words are met and emptied when large; marks are NaN."""
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 100_000
 
     def __init__(self, model: ToxicityModel) -> None:
         super().__init__()
